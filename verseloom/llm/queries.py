@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verseloom.llm import bpe, chat, exact_dedup
+from verseloom.llm import bpe, chat, exact_dedup, fingerprints, quality, toxicity
+from verseloom.llm.shared import crc_mod
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,6 +18,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(_read(spark, sf_dir, "documents"))
+
+
+def op3_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.with_score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
+    held = F.coalesce(crc_mod("doc_id", quality.HELD_FOLDS) == quality.HELD_FOLD, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+    held = F.coalesce(crc_mod("doc_id", toxicity.HELD_FOLDS) == toxicity.HELD_FOLD, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(_read(spark, sf_dir, "documents")).drop("row_key")
 
@@ -33,6 +52,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cws_fingerprints": op1_cws_fingerprints,
+    "op3_mil_quality": op3_mil_quality,
+    "op7_lexicon_toxicity": op7_lexicon_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_chat_format": op10_chat_format,
