@@ -15,7 +15,9 @@ pass through.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import json
 import re
 import unicodedata
@@ -34,6 +36,8 @@ from verseloom.llm.shared import map_arrow, rows
 
 #: Labelled rows to train on, entries of the lexicon, and learnt exceptions at most.
 SAMPLE, ENTRIES, EXCEPTIONS = 12_000, 4_000, 1_000
+#: Standard errors that a term's log ratio must lie above zero: many terms are tried.
+LEAST_Z = 4.8
 HELD_FOLDS, HELD_FOLD = 4, 2
 THRESHOLD = 0.3
 #: Letters of other scripts that look like Latin ones, and the Latin ones. Fixed values.
@@ -76,8 +80,8 @@ class Lexicon:
         if len(self.machine):
             self.machine.make_automaton()
 
-    def hits(self, folded: str) -> dict[int, tuple[int, float]]:
-        """By the blank before it: length and weight of the longest entry at each word, outside of exceptions."""
+    def hits(self, folded: str) -> list[tuple[int, int, float, int]]:
+        """First place, length and weight of the longest entry at each distinct word, and how often, outside of exceptions."""
         best: dict[int, tuple[int, float]] = {}
         covered: list[tuple[int, int]] = []
         for end, (n, w) in self.machine.iter(folded) if len(self.machine) else ():
@@ -86,15 +90,21 @@ class Lexicon:
                 covered.append((start, end))
             elif start not in best or n > best[start][0]:
                 best[start] = (n, w)
-        for a, b in covered:
-            for k in [k for k in best if a <= k < b]:
-                del best[k]
-        return best
+        if covered:
+            covered.sort()
+            firsts = [a for a, _ in covered]
+            reach = list(itertools.accumulate((b for _, b in covered), max))
+            best = {k: v for k, v in best.items() if not (j := bisect.bisect_right(firsts, k)) or reach[j - 1] <= k}
+        words: dict[str, list] = {}
+        for k, (n, w) in best.items():
+            words.setdefault(folded[k : folded.find(" ", k + 1)], [k, n, w, 0])[3] += 1
+        return [tuple(x) for x in words.values()]
 
     @staticmethod
-    def features(hits: dict[int, tuple[int, float]], n_words: int) -> list[float]:
-        total = sum(w for _, w in hits.values())
-        return [np.log1p(total), total / (n_words + 20) * 10, np.log1p(len(hits)), max((w for _, w in hits.values()), default=0.0), total / np.sqrt(n_words + 20)]
+    def features(hits: list[tuple[int, int, float, int]], n_words: int) -> list[float]:
+        total = sum(w for _, _, w, _ in hits)
+        often = sum(w * n for _, _, w, n in hits)
+        return [np.log1p(total), total / (n_words + 20) * 10, np.log1p(len(hits)), max((w for _, _, w, _ in hits), default=0.0), total / np.sqrt(n_words + 20), np.log1p(often), often / (n_words + 20)]
 
     def score(self, text: str) -> float:
         folded = fold(text)
@@ -115,7 +125,7 @@ def _parts(word: str) -> list[str]:
 
 
 def count_terms(sample: DataFrame) -> DataFrame:
-    """(term, toxic_docs, toxic, clean): texts and occurrences of each word and word beginning, summed in each task first."""
+    """(term, toxic_docs, toxic, clean): texts and distinct words for each word and word beginning, summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -130,10 +140,9 @@ def count_terms(sample: DataFrame) -> DataFrame:
         for texts, labels in rows(batches):
             for text, label in zip(texts, labels):
                 here: Counter[str] = Counter()
-                for w, n in Counter(fold(text).split()).items():
+                for w in set(fold(text).split()):  # each word once a text, so repeated lines weigh no more
                     if 3 <= len(w) <= 40:
-                        for p in _parts(w):
-                            here[p] += n
+                        here.update(_parts(w))
                 for p, n in here.items():
                     entry = counts.setdefault(p, [0, 0, 0])
                     if label:
@@ -154,7 +163,7 @@ def choose(counted: list[tuple[str, int, int, int]], toxic_words: int, clean_wor
     found = {}
     for term, _, t, c in counted:
         ratio = np.log((t + 0.5) / (toxic_words + 1)) - np.log((c + 0.5) / (clean_words + 1))
-        if ratio > 1.2 and ratio / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) > 4:
+        if ratio > 1.2 and ratio / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) > LEAST_Z:
             found[term] = (float(ratio), t)
     most: dict[str, int] = {}  # occurrences of the longest entries under each beginning
     for term, (_, t) in found.items():
@@ -173,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = HELD_FOLDS, fold_out:
     counted = terms.where("toxic_docs >= 4 and toxic > clean / 2").orderBy(F.desc("toxic_docs"), "term").limit(20 * ENTRIES).collect()
     entries = choose([tuple(r) for r in counted], words[0] or 0, words[1] or 0)
     given = [f" {' '.join(fold(p).split())} " for p in PHRASES]
-    first = Lexicon(entries, given, [0.0] * 6).dumps()
+    first = Lexicon(entries, given, [0.0] * 8).dumps()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = loads(first)
@@ -184,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = HELD_FOLDS, fold_out:
                 hits = lexicon.hits(folded)
                 xs.append([float(v) for v in Lexicon.features(hits, folded.count(" ") - 1)])
                 near = set()
-                for at, (n, _) in list(hits.items())[:200]:
+                for at, *_ in hits:
                     stop = folded.find(" ", at + 1)
                     after, before = folded.find(" ", stop + 1), folded.rfind(" ", 0, at)
                     near |= {folded[at : after + 1]} if after > 0 else set()
@@ -198,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = HELD_FOLDS, fold_out:
     learnt = [r.c for r in context.where("toxic = 0 and n >= 4").orderBy(F.desc("n"), "c").limit(EXCEPTIONS).collect()]
     seen.unpersist()
     y = np.array([r.label for r in data], np.float64)
-    weights = logistic(np.array([r.x for r in data]).reshape(-1, 5), y) if len(y) else np.zeros(6)
+    weights = logistic(np.array([r.x for r in data]).reshape(-1, 7), y) if len(y) else np.zeros(8)
     return Lexicon(entries, given + learnt, weights.tolist())
 
 
