@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verseloom.llm import bpe, chat, exact_dedup, fingerprints, quality, toxicity
+from verseloom.llm import bpe, chat, exact_dedup, fingerprints, near_dedup, quality, toxicity
 from verseloom.llm.shared import crc_mod
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(_read(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op8_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_dedup.classify(_read(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_read(spark, sf_dir, "documents"), BPE_FILE)
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mil_quality": op3_mil_quality,
     "op7_lexicon_toxicity": op7_lexicon_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_icws_near_dedup": op8_icws_near_dedup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_chat_format": op10_chat_format,
 }
