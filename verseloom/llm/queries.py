@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verseloom.llm import bpe, chat, exact_dedup, fingerprints, near_dedup, quality, toxicity
+from verseloom.llm import bpe, chat, exact_dedup, fingerprints, near_dedup, packing, quality, tokens, toxicity, warc
 from verseloom.llm.shared import crc_mod
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op1_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(_read(spark, sf_dir, "documents"))
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_read(spark, sf_dir, "pages"), least=0)
+
+
 def op3_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.with_score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
@@ -36,6 +40,15 @@ def op7_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token belongs to the line of its first character."""
+    return tokens.section_tokens(_read(spark, sf_dir, "documents"), BPE_FILE, rule="start")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), BPE_FILE)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(_read(spark, sf_dir, "documents")).drop("row_key")
 
@@ -58,6 +71,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cws_fingerprints": op1_cws_fingerprints,
+    "op2_warc_archive": op2_warc_archive,
+    "op4_section_tokens": op4_section_tokens,
+    "op6_packing": op6_packing,
     "op3_mil_quality": op3_mil_quality,
     "op7_lexicon_toxicity": op7_lexicon_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
