@@ -1,0 +1,6 @@
+"""Named queries over the driver's tables, and the SQL that gives the same rows."""
+
+from verseloom.plans import scalar_queries
+
+QUERIES = {**scalar_queries.QUERIES}
+SQL = {**scalar_queries.SQL}
