@@ -17,7 +17,7 @@ import xxhash
 
 TABLE_BITS = 16
 #: Makes ln a positive, so that its bits sort as it does.
-SHIFT = np.float32(64)
+SHIFT = 64.0
 
 
 class Sampler:
@@ -25,22 +25,30 @@ class Sampler:
         rng = np.random.Generator(np.random.PCG64(seed))
         n = 1 << TABLE_BITS
         self.k = k
-        self.r = rng.gamma(2.0, 1.0, n).astype(np.float32)
-        self.over_r = (1 / self.r.astype(np.float64)).astype(np.float32)
-        self.ln_c = np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32)
-        self.b = rng.random(n, np.float32)
+        r, ln_c, b = rng.gamma(2.0, 1.0, n), np.log(rng.gamma(2.0, 1.0, n)), rng.random(n)
+        # ln a = (ln c - r + r b) - r t, with t = floor(ln S / r + b)
+        self.r, self.over_r, self.b, self.base = (x.astype(np.float32) for x in (r, 1 / r, b, ln_c - r + r * b + SHIFT))
         self.times = rng.integers(1, 1 << 63, k, np.uint64) << np.uint64(1) | np.uint64(1)
 
     def samples(self, terms: np.ndarray, ln_weight: np.ndarray) -> np.ndarray:
         """(terms, k) uint64: ln a in the upper half, a hash of (term, t) in the lower."""
-        at = (terms[:, None] * self.times) >> np.uint64(64 - TABLE_BITS)
-        at = at.astype(np.intp)
-        r, b = self.r[at], self.b[at]
-        t = np.floor(ln_weight.astype(np.float32)[:, None] * self.over_r[at] + b)
-        ln_a = self.ln_c[at] - r * (t - b + np.float32(1)) + SHIFT
-        np.maximum(ln_a, 0, out=ln_a)
-        name = (terms[:, None] >> np.uint64(20)).astype(np.uint32) ^ (t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1))
-        return ln_a.view(np.uint32).astype(np.uint64) << np.uint64(32) | name
+        at = terms[:, None] * self.times
+        at >>= np.uint64(64 - TABLE_BITS)
+        at = at.view(np.int64)
+        t = self.over_r.take(at)
+        t *= ln_weight.astype(np.float32)[:, None]
+        t += self.b.take(at)
+        np.floor(t, out=t)
+        name = t.astype(np.int32).view(np.uint32)
+        name *= np.uint32(0x9E3779B1)
+        name ^= (terms >> np.uint64(20)).astype(np.uint32)[:, None]
+        t *= self.r.take(at)
+        np.subtract(self.base.take(at), t, out=t)
+        np.maximum(t, 0, out=t)
+        packed = t.view(np.uint32).astype(np.uint64)
+        packed <<= np.uint64(32)
+        packed |= name
+        return packed
 
     def signature(self, terms: np.ndarray, ln_weight: np.ndarray, step: int = 256) -> np.ndarray:
         """uint32 sample names of a weighted set; zeros for an empty one."""
