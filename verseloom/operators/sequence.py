@@ -59,7 +59,7 @@ def variety_penalty(tokens: Column) -> Column:
     """18 times the share of repeated tokens plus 8 for each repeated pair of neighbours."""
     pairs = F.zip_with(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     n = F.size(tokens)
-    return F.when(n == 0, 0.0).otherwise((1 - F.size(F.array_distinct(tokens)) / n) * 18.0 + (F.size(pairs) - F.size(F.array_distinct(pairs))) * 8.0)
+    return F.when(n <= 2, 0.0).otherwise((1 - F.size(F.array_distinct(tokens)) / n) * 18.0 + (F.size(pairs) - F.size(F.array_distinct(pairs))) * 8.0)
 
 
 def neighbours(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -112,7 +112,7 @@ def soft_boundaries(words: DataFrame, keys: list[str], target: int = 28, least:
     w = Window.partitionBy(*keys).orderBy("word_idx")
     resets = F.coalesce(F.lag(F.col("line_after") | F.col("terminal") | F.col("pause_after")).over(w), F.lit(False)).cast("int")
     cut = words.withColumn("resets", resets).withColumn("run", F.sum("resets").over(w))
-    items = F.array_sort(F.collect_list(F.struct("word_idx", F.length("text").alias("chars"), F.rtrim("text").rlike("[,;:]$").alias("comma"))))
+    items = F.array_sort(F.collect_list(F.struct("word_idx", F.length("text").alias("chars"), (F.rtrim("text").rlike("[,;:]$") & ~F.col("line_after") & ~F.col("terminal") & ~F.col("pause_after")).alias("comma"))))
 
     def step(s: Column, x: Column) -> Column:
         n, chars = s["n"] + 1, s["chars"] + x["chars"] + F.when(s["n"] > 0, 1).otherwise(0)

@@ -355,7 +355,7 @@ def word_boundaries(spark, d):
 
 @query(
     f"""WITH RECURSIVE {HINTED}, c AS (SELECT *, coalesce(lag(line_after OR terminal OR pause_after) OVER (PARTITION BY doc_id ORDER BY word_idx), false)::INT AS rs FROM hb), n AS (SELECT *, sum(rs) OVER (PARTITION BY doc_id ORDER BY word_idx) AS run FROM c),
-    p AS MATERIALIZED (SELECT doc_id, run, word_idx, length(text) AS ch, regexp_matches(rtrim(text), '[,;:]$') AS comma, row_number() OVER (PARTITION BY doc_id, run ORDER BY word_idx) AS k FROM n),
+    p AS MATERIALIZED (SELECT doc_id, run, word_idx, length(text) AS ch, (regexp_matches(rtrim(text), '[,;:]$') AND NOT line_after AND NOT terminal AND NOT pause_after) AS comma, row_number() OVER (PARTITION BY doc_id, run ORDER BY word_idx) AS k FROM n),
     r AS (SELECT doc_id, run, k, word_idx, comma AND ch >= 28 AS hit, CASE WHEN comma AND ch >= 28 THEN 0 ELSE 1 END AS cnt, CASE WHEN comma AND ch >= 28 THEN 0 ELSE ch END AS chars FROM p WHERE k = 1
       UNION ALL SELECT p.doc_id, p.run, p.k, p.word_idx, x.hit, CASE WHEN x.hit THEN 0 ELSE r.cnt + 1 END, CASE WHEN x.hit THEN 0 ELSE x.chars END FROM r JOIN p ON p.doc_id = r.doc_id AND p.run = r.run AND p.k = r.k + 1,
       LATERAL (SELECT r.chars + p.ch + CASE WHEN r.cnt > 0 THEN 1 ELSE 0 END AS chars, p.comma AND (r.cnt + 1 >= 5 OR r.chars + p.ch + CASE WHEN r.cnt > 0 THEN 1 ELSE 0 END >= 28) AS hit) x)

@@ -286,7 +286,7 @@ def run_length_collapse(spark, d):
     n AS (SELECT *, sum(ch) OVER (PARTITION BY doc_id ORDER BY word_idx) AS run FROM c), r AS (SELECT doc_id, run, count(*) AS n FROM n GROUP BY doc_id, run),
     a AS (SELECT doc_id, sum(n)::BIGINT AS n_tokens, sum(n - 1)::BIGINT AS repeats, max(n) AS longest FROM r GROUP BY doc_id),
     v AS (SELECT doc_id, count(*) AS n, count(DISTINCT form) AS dn, count(nxt) AS p, count(DISTINCT form || chr(1) || nxt) AS dp FROM (SELECT *, lead(form) OVER (PARTITION BY doc_id ORDER BY word_idx) AS nxt FROM t) GROUP BY doc_id)
-    SELECT a.*, CASE WHEN n_tokens <= 2 THEN 0.0 ELSE repeats * 8.0 + greatest(longest - 2, 0) * 20.0 END::DOUBLE AS penalty, ((1 - dn::DOUBLE / n) * 18.0 + (p - dp) * 8.0)::DOUBLE AS variety FROM a JOIN v USING (doc_id)"""
+    SELECT a.*, CASE WHEN n_tokens <= 2 THEN 0.0 ELSE repeats * 8.0 + greatest(longest - 2, 0) * 20.0 END::DOUBLE AS penalty, (CASE WHEN n <= 2 THEN 0.0 ELSE (1 - dn::DOUBLE / n) * 18.0 + (p - dp) * 8.0 END)::DOUBLE AS variety FROM a JOIN v USING (doc_id)"""
 )
 def repetition_penalty(spark, d):
     tokens = V.timed_words(read(spark, d, "documents")).select("doc_id", "word_idx", X.token_form("text").alias("form"))
