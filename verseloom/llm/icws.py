@@ -16,6 +16,10 @@ import numpy as np
 import xxhash
 
 TABLE_BITS = 16
+#: Weights whose tables a worker keeps: 256 KB each.
+KEPT_TABLES = 96
+#: Terms of one weight in a text that make its table worth while.
+TABLE_TERMS = 48
 #: Makes ln a positive, so that its bits sort as it does.
 SHIFT = 64.0
 
@@ -28,6 +32,7 @@ class Sampler:
         r, ln_c, b = rng.gamma(2.0, 1.0, n), np.log(rng.gamma(2.0, 1.0, n)), rng.random(n)
         # ln a = (ln c - r + r b) - r t, with t = floor(ln S / r + b)
         self.r, self.over_r, self.b, self.base = (x.astype(np.float32) for x in (r, 1 / r, b, ln_c - r + r * b + SHIFT))
+        self.tables: dict[float, np.ndarray] = {}
         self.times = rng.integers(1, 1 << 63, k, np.uint64) << np.uint64(1) | np.uint64(1)
 
     def samples(self, terms: np.ndarray, ln_weight: np.ndarray) -> np.ndarray:
@@ -50,15 +55,61 @@ class Sampler:
         packed |= name
         return packed
 
+    def _at(self, terms: np.ndarray) -> np.ndarray:
+        at = terms[:, None] * self.times
+        at >>= np.uint64(64 - TABLE_BITS)
+        return at.view(np.int64)
+
+    @staticmethod
+    def _better(members: np.ndarray, ln_a: np.ndarray, least: np.ndarray, winner: np.ndarray) -> None:
+        """Takes over the samples in which one of ``members`` is below the least so far."""
+        first = ln_a.argmin(axis=0)
+        value = ln_a[first, columns_of(len(least))]
+        better = value < least
+        least[better], winner[better] = value[better], members[first[better]]
+
+    def table(self, ln_weight: float) -> np.ndarray:
+        """ln a of every draw at one weight; the tables of frequent weights are kept."""
+        if (found := self.tables.get(ln_weight)) is None:
+            if len(self.tables) >= KEPT_TABLES:
+                self.tables.clear()
+            found = self.tables[ln_weight] = self.base - self.r * np.floor(np.float32(ln_weight) * self.over_r + self.b)
+        return found
+
     def signature(self, terms: np.ndarray, ln_weight: np.ndarray, step: int = 256) -> np.ndarray:
-        """uint32 sample names of a weighted set; zeros for an empty one."""
+        """uint32 sample names of a weighted set; zeros for an empty one.
+
+        Terms of equal weight share one table of ln a, so each costs a look-up a sample.
+        """
         if not len(terms):
             return np.zeros(self.k, np.uint32)
-        least = None
-        for lo in range(0, len(terms), step):
-            part = self.samples(terms[lo : lo + step], ln_weight[lo : lo + step]).min(axis=0)
-            least = part if least is None else np.minimum(least, part)
-        return named(least)
+        ln_weight = ln_weight.astype(np.float32)
+        weights, which = np.unique(ln_weight, return_inverse=True)
+        least, winner = np.full(self.k, np.inf, np.float32), np.zeros(self.k, np.intp)
+        sizes = np.bincount(which)
+        rare = []
+        for g, w in enumerate(weights.tolist()):
+            if sizes[g] < TABLE_TERMS and w not in self.tables:
+                rare.append(g)
+                continue
+            table = self.table(w)
+            members = np.flatnonzero(which == g) if len(weights) > 1 else np.arange(len(terms))
+            for lo in range(0, len(members), step):
+                self._better(members[lo : lo + step], table.take(self._at(terms[members[lo : lo + step]]), mode="clip"), least, winner)
+        members = np.flatnonzero(np.isin(which, rare)) if rare else ()
+        for lo in range(0, len(members), step):
+            part = members[lo : lo + step]
+            at = self._at(terms[part])
+            t = np.floor(ln_weight[part, None] * self.over_r.take(at) + self.b.take(at))
+            self._better(part, self.base.take(at) - self.r.take(at) * t, least, winner)
+        at = (terms[winner] * self.times >> np.uint64(64 - TABLE_BITS)).view(np.int64)
+        t = np.floor(ln_weight[winner] * self.over_r[at] + self.b[at]).astype(np.int32).view(np.uint32)
+        return np.maximum((terms[winner] >> np.uint64(20)).astype(np.uint32) ^ t * np.uint32(0x9E3779B1), np.uint32(1))
+
+
+@functools.cache
+def columns_of(n: int) -> np.ndarray:
+    return np.arange(n)
 
 
 def named(packed: np.ndarray) -> np.ndarray:
@@ -66,6 +117,18 @@ def named(packed: np.ndarray) -> np.ndarray:
     return np.maximum(packed.astype(np.uint32), 1)
 
 
-@functools.lru_cache(maxsize=500_000)
+class TermHashes(dict):
+    """64-bit hashes of terms; a worker keeps those that it has met, up to a bound."""
+
+    def __missing__(self, term: str) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        self[term] = h = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
+        return h
+
+
+TERM_HASHES = TermHashes()
+
+
 def term_hash(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
+    return TERM_HASHES[term]

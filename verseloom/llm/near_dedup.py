@@ -2,15 +2,16 @@
 
 1. One pass makes each text's word key (equal words: one class at once, copies are not compared any
    further) and counts document frequencies of all shingles into 2**20 hashed buckets, a table of fixed
-   size, so weights need no join. A shingle of SHINGLE words weighs tf * (1 + DAMP * ln(N/df)/ln N): idf
-   is damped, as a shingle's df counts the copies in its own group, and with full idf a group would fall
-   apart as it grows.
+   size, so weights need no join. A shingle of SHINGLE words weighs tf * (1 + DAMP * idf), with
+   idf = ln(N/df)/ln N in steps of 1/LEVELS: it is damped, as a shingle's df counts the copies in its
+   own group, and with full idf a group would fall apart as it grows.
 2. One pass signs every text by BANDS * ROWS samples and hashes them into bands.
 3. In each band bucket every text is linked to the bucket's least text; of these links each text tries
    one. Links are verified by exact weighted Jaccard on the whole texts and joined into components.
 4. Texts that share a bucket but not yet a component are compared in blocks of BLOCK by their
-   signatures; those that can reach the threshold are verified too. So every candidate of the banding is
-   either in one component or was tested, whatever the bucket's size, and no link is lost to a cap.
+   signatures; those that can reach the threshold are verified too, by falling agreement, unless they
+   have been joined by then. So every candidate of the banding is in one component or was tested,
+   whatever the bucket's size, and no link is lost to a cap.
 
 Each text gets the class of its component, named by the smallest doc_id. Null texts count as empty;
 texts without words are alike only if equal; texts of fewer than SHINGLE words are one shingle. Rows
@@ -31,12 +32,12 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verseloom.llm.icws import Sampler, term_hash
+from verseloom.llm.icws import TERM_HASHES, Sampler
 from verseloom.llm.shared import compare_to_hubs, map_arrow, materialize, rows, shuffle_partitions, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
-DAMP = 0.05
+DAMP, LEVELS, MOST_TF = 0.05, 4, 13_000
 DF_BITS, CHUNK = 20, 4096
 BLOCK = 512
 #: Least share of equal samples at which a pair is verified: over three standard errors below the threshold.
@@ -47,7 +48,7 @@ def shingles(words: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     """Distinct shingle hashes, sorted, and how often each occurs."""
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(term_hash, words), np.uint64, len(words))
+    h = np.fromiter(map(TERM_HASHES.__getitem__, words), np.uint64, len(words))
     size = min(size, len(h))
     out = h[: len(h) - size + 1].copy()
     for k in range(1, size):
@@ -56,8 +57,14 @@ def shingles(words: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return np.unique(out ^ (out >> np.uint64(31)), return_counts=True)
 
 
-def weights(terms: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return tf * idf[(terms >> np.uint64(64 - DF_BITS)).astype(np.intp)]
+def weight_codes(terms: np.ndarray, tf: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Count and idf level of each shingle in one number."""
+    return np.minimum(tf, MOST_TF) * (LEVELS + 1) + levels[(terms >> np.uint64(64 - DF_BITS)).astype(np.intp)]
+
+
+def weights(codes: np.ndarray) -> np.ndarray:
+    count, level = np.divmod(codes, LEVELS + 1)
+    return count * (1 + DAMP * level / LEVELS)
 
 
 def word_key(text: str, words: list[str]) -> bytes:
@@ -65,20 +72,23 @@ def word_key(text: str, words: list[str]) -> bytes:
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
-    """Of two bodies: sorted shingles and their weights."""
-    (ta, wa), (tb, wb) = _body(a), _body(b)
+    """Of two bodies."""
+    (ta, wa, sa), (tb, wb, sb) = _body(a), _body(b)
+    if not len(ta) or not len(tb):
+        return 0.0
     at = np.searchsorted(tb, ta)
     at[at == len(tb)] = 0
-    same = tb[at] == ta if len(tb) else np.zeros(len(ta), bool)
-    shared = np.minimum(wa[same], wb[at[same]]).sum()
-    total = wa.sum() + wb.sum() - shared
-    return float(shared / total) if total else 0.0
+    same = tb[at] == ta
+    shared = float(np.minimum(wa[same], wb[at[same]]).sum())
+    return shared / (sa + sb - shared)
 
 
-@functools.lru_cache(maxsize=8)
-def _body(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(packed) // 12
-    return np.frombuffer(packed, "<u8", n), np.frombuffer(packed, "<f4", n, 8 * n)
+@functools.lru_cache(maxsize=2 * 512)
+def _body(packed: bytes) -> tuple[np.ndarray, np.ndarray, float]:
+    """Names, weights and their sum."""
+    n = len(packed) // 6
+    w = weights(np.frombuffer(packed, "<u2", n, 4 * n))
+    return np.frombuffer(packed, "<u4", n), w, float(w.sum())
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -106,8 +116,8 @@ def keys_and_frequencies(source: DataFrame) -> DataFrame:
     return map_arrow(source.select("doc_id", "id", "text"), run, "doc_id long, id long, key binary, chunk int, counts binary")
 
 
-def idf_table(counted: DataFrame, n_docs: int) -> np.ndarray:
-    """1 + DAMP * ln(N/df)/ln N by hashed bucket: 2**DF_BITS floats, whatever the corpus."""
+def idf_levels(counted: DataFrame, n_docs: int) -> np.ndarray:
+    """round(LEVELS * ln(N/df)/ln N) by hashed bucket: 2**DF_BITS bytes, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -122,14 +132,14 @@ def idf_table(counted: DataFrame, n_docs: int) -> np.ndarray:
     for r in map_arrow(parts, run, "chunk int, df binary").toLocalIterator():
         df[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.df, "<f4")
     n = max(2, n_docs)
-    return (1 + DAMP * np.log(n / np.clip(df, 1, n)) / np.log(n)).astype(np.float32)
+    return np.rint(LEVELS * np.log(n / np.clip(df, 1, n)) / np.log(n)).astype(np.uint8)
 
 
-def signatures(source: DataFrame, idf: Broadcast) -> DataFrame:
+def signatures(source: DataFrame, levels: Broadcast) -> DataFrame:
     """(id, bands array<long>, sig binary) of every text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, table = _sampler(), idf.value
+        sampler, table = _sampler(), levels.value
         seen: dict[int, tuple[list[int], bytes]] = {}  # copies are often near each other
         for ids, texts in rows(batches):
             found = [], [], []
@@ -140,7 +150,7 @@ def signatures(source: DataFrame, idf: Broadcast) -> DataFrame:
                 name = hash(tuple(words))
                 if name not in seen:
                     terms, tf = shingles(words)
-                    sig = sampler.signature(terms, np.log(weights(terms, tf, table)))
+                    sig = sampler.signature(terms, np.log(weights(weight_codes(terms, tf, table))))
                     if len(seen) > 2000:
                         seen.clear()
                     seen[name] = _bands(sig), sig.tobytes()
@@ -164,15 +174,15 @@ def _bands(sig: np.ndarray) -> list[int]:
     return h.view(np.int64).tolist()
 
 
-def bodies(source: DataFrame, idf: Broadcast) -> DataFrame:
-    """(id, body): sorted shingles and weights of a text."""
+def bodies(source: DataFrame, levels: Broadcast) -> DataFrame:
+    """(id, body): 32-bit names of a text's distinct shingles, sorted, and 16-bit codes of their weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows(batches):
             out = []
             for text in texts:
                 terms, tf = shingles(words_of(text))
-                out.append(terms.astype("<u8").tobytes() + weights(terms, tf, idf.value).astype("<f4").tobytes())
+                out.append((terms >> np.uint64(32)).astype("<u4").tobytes() + weight_codes(terms, tf, levels.value).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "body"])
 
     return map_arrow(source.select("id", "text"), run, "id long, body binary")
@@ -197,33 +207,54 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Members of buckets dealt into all pairs of blocks of at most about BLOCK members: (bucket, i, j, side, ...)."""
+    """Members of buckets with several components, dealt into all pairs of blocks of about BLOCK members: (bucket, i, j, side, ...)."""
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     dealt = members.join(sizes.where("lo < hi").select("bucket", "blocks"), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "comp", "sig")
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "comp")
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of different components that share a bucket and agree in MAYBE of their samples; each pair once, in its first band."""
-    dealt = _blocks(members).repartition(shuffle_partitions(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+def cross_links(members: DataFrame, signed: DataFrame, body: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): verified links that join different components of a bucket.
+
+    Within a pair of blocks, pairs that can reach the threshold by their samples go by falling agreement;
+    a pair whose ends are joined by then is not needed, any other is verified on the whole bodies. A pair
+    is taken up in the first band that it shares only.
+    """
+    dealt = _blocks(members).join(signed.select("id", "sig"), "id").join(body, "id")
+    dealt = dealt.select("bucket", "i", "j", "side", "id", "comp", "sig", "body").repartition(shuffle_partitions(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
 
-    def pairs(key: tuple, group: list[tuple]) -> Iterator[tuple[int, int]]:
+    def links(key: tuple, group: list[tuple]) -> Iterator[tuple[int, int]]:
         bucket, i, j = key
         left = [g for g in group if g[0] == 0] if i != j else group
         right = [g for g in group if g[0] == 1] if i != j else group
         if not left or not right:
             return
         sa, sb = (np.frombuffer(b"".join(g[3] for g in side), np.uint32).reshape(len(side), -1) for side in (left, right))
-        ids_b, comp_b = np.array([g[1] for g in right]), np.array([g[2] for g in right])
-        for k, (_, ident, comp, _) in enumerate(left):
+        band = _bands(sa[0]).index(bucket)
+        comp_b = np.array([g[2] for g in right])
+        found: list[tuple[float, int, int]] = []
+        for k, (_, _, comp, _, _) in enumerate(left):
             equal = sa[k] == sb
-            ok = (equal.mean(1) >= MAYBE) & (comp_b != comp)
+            share = equal.mean(1)
+            ok = (share >= MAYBE) & (comp_b != comp)
             if i == j:
                 ok[: k + 1] = False
-            for m in np.flatnonzero(ok).tolist():
-                first = int(equal[m].reshape(BANDS, ROWS).all(1).argmax())
-                if _bands(sa[k])[first] == bucket:
-                    yield ident, int(ids_b[m])
+            at = np.flatnonzero(ok)
+            if len(at):
+                first = equal[at].reshape(len(at), BANDS, ROWS).all(2).argmax(1) == band
+                found += [(float(share[m]), k, m) for m in at[first].tolist()]
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while joined.get(c, c) != c:
+                joined[c] = c = joined.get(joined[c], joined[c])
+            return c
+
+        for _, k, m in sorted(found, reverse=True):
+            p, q = root(left[k][2]), root(right[m][2])
+            if p != q and weighted_jaccard(left[k][4], right[m][4]) >= threshold:
+                joined[p] = q
+                yield left[k][1], right[m][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
@@ -231,17 +262,17 @@ def cross_pairs(members: DataFrame) -> DataFrame:
         def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-        for bucket, i, j, side, ids, comps, sigs in rows(batches):
+        for cols in rows(batches):
             found: list[tuple[int, int]] = []
-            for row in zip(bucket, i, j, side, ids, comps, sigs):
+            for row in zip(*cols):
                 if row[:3] != key:
                     if group:
-                        found += pairs(key, group)
+                        found += links(key, group)
                     key, group = row[:3], []
                 group.append(row[3:])
             yield out(found)
         if group:
-            yield out(list(pairs(key, group)))
+            yield out(list(links(key, group)))
 
     return map_arrow(dealt, run, "a long, b long")
 
@@ -252,22 +283,21 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     source = _source(docs, id_col, text_col)
     counted = materialize(keys_and_frequencies(source), "near-keys")
     keyed = counted.where("chunk is null").select("doc_id", "id", "key")
-    idf = spark.sparkContext.broadcast(idf_table(counted, keyed.count()))  # 4 MB by construction
+    levels = spark.sparkContext.broadcast(idf_levels(counted, keyed.count()))  # 1 MB by construction
     firsts = materialize(keyed.groupBy("key").agg(F.min("id").alias("first")), "near-firsts")
-    signed = materialize(signatures(source, idf).join(firsts.select(F.col("first").alias("id")), "id").dropDuplicates(["id"]), "near-signatures")
+    signed = materialize(signatures(source, levels).join(firsts.select(F.col("first").alias("id")), "id").dropDuplicates(["id"]), "near-signatures")
 
     banded = signed.select("id", F.explode("bands").alias("bucket"))
     leaders = materialize(banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader"), "near-buckets")
     shared = materialize(banded.join(leaders, "bucket"), "near-shared")
     involved = shared.select("id").distinct()
-    body = materialize(bodies(source.join(involved, "id").dropDuplicates(["id"]), idf), "near-bodies")
+    body = materialize(bodies(source.join(involved, "id").dropDuplicates(["id"]), levels), "near-bodies")
 
     first_links = shared.where("id != leader").groupBy("id").agg(F.min("leader").alias("hub"))
     verified = materialize(compare_to_hubs(first_links, body, weighted_jaccard, "binary").where(F.col("likeness") >= threshold).select(F.col("id").alias("a"), F.col("hub").alias("b")), "near-links")
     comps = components(verified)
-    members = shared.select("bucket", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(signed.select("id", "sig"), "id")
-    more = cross_pairs(members).select(F.col("a").alias("id"), F.col("b").alias("hub")).distinct()
-    crossed = compare_to_hubs(materialize(more, "near-pairs"), body, weighted_jaccard, "binary").where(F.col("likeness") >= threshold).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    members = materialize(shared.select("bucket", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "near-members")
+    crossed = cross_links(members, signed, body, threshold)
     comps = components(materialize(verified.unionByName(crossed), "near-all-links"))
 
     classed = keyed.join(firsts, "key").join(comps.withColumnRenamed("id", "first"), "first", "left").select("doc_id", "id", F.coalesce("comp", "first").alias("comp"))
