@@ -36,8 +36,8 @@ from verseloom.llm.shared import map_arrow, rows
 
 #: Labelled rows to train on, entries of the lexicon, and learnt exceptions at most.
 SAMPLE, ENTRIES, EXCEPTIONS = 12_000, 4_000, 1_000
-#: Standard errors that a term's log ratio must lie above zero: many terms are tried.
-LEAST_Z = 4.8
+#: Root of the likelihood ratio statistic that a term must pass: many terms are tried.
+LEAST_Z = 4.2
 HELD_FOLDS, HELD_FOLD = 4, 2
 THRESHOLD = 0.3
 #: Letters of other scripts that look like Latin ones, and the Latin ones. Fixed values.
@@ -163,7 +163,9 @@ def choose(counted: list[tuple[str, int, int, int]], toxic_words: int, clean_wor
     found = {}
     for term, _, t, c in counted:
         ratio = np.log((t + 0.5) / (toxic_words + 1)) - np.log((c + 0.5) / (clean_words + 1))
-        if ratio > 1.2 and ratio / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) > LEAST_Z:
+        expected = (t + c) * toxic_words / max(1, toxic_words + clean_words)
+        evidence = 2 * (t * np.log(t / expected) + c * np.log(max(c, 1) / max(t + c - expected, 1e-9))) if t and expected else 0.0
+        if ratio > 1.2 and evidence > LEAST_Z**2:
             found[term] = (float(ratio), t)
     most: dict[str, int] = {}  # occurrences of the longest entries under each beginning
     for term, (_, t) in found.items():
@@ -179,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = HELD_FOLDS, fold_out:
     terms = count_terms(sample)
     words = terms.where("term like '% '").agg(F.sum("toxic"), F.sum("clean")).first()
     # candidates are bounded by the sample; the count orders them so that the bound is the same each time
-    counted = terms.where("toxic_docs >= 4 and toxic > clean / 2").orderBy(F.desc("toxic_docs"), "term").limit(20 * ENTRIES).collect()
+    counted = terms.where("toxic_docs >= 3 and toxic > clean / 2").orderBy(F.desc("toxic_docs"), "term").limit(20 * ENTRIES).collect()
     entries = choose([tuple(r) for r in counted], words[0] or 0, words[1] or 0)
     given = [f" {' '.join(fold(p).split())} " for p in PHRASES]
     first = Lexicon(entries, given, [0.0] * 8).dumps()
