@@ -36,4 +36,15 @@ def short_clock(seconds: Column) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
-    return F.when(F.abs(n) < 1024, F.format_string("%d B", n.cast("long"))).when(F.abs(n) < 1048576, F.format_string("%.1f KiB", n / 1024.0)).otherwise(F.format_string("%.1f MiB", n / 1048576.0))
+    """B, KiB, MiB or GiB; null is a dash."""
+    sized = F.when(F.abs(n) < 1024, F.format_string("%d B", n.cast("long")))
+    for k, unit in ((1, "KiB"), (2, "MiB")):
+        sized = sized.when(F.abs(n) < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(n / float(1024**k), 1)))
+    return F.coalesce(sized.when(n.isNotNull(), F.format_string("%.1f GiB", F.bround(n / float(1024**3), 1))), F.lit("-"))
+
+
+def effort_text(seconds: Column) -> Column:
+    """Whole seconds as 1h02m03s or 2m03s; null is a dash."""
+    s = F.greatest(F.lit(0), F.bround(seconds)).cast("long")
+    short = F.format_string("%dm%02ds", F.floor(s / 60) % 60, s % 60)
+    return F.when(seconds.isNull(), "-").when(s >= 3600, F.format_string("%dh%02dm%02ds", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)).otherwise(short)

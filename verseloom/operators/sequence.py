@@ -134,20 +134,29 @@ def word_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
 def refined_words(words: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """Words with their spans' times; words without spans are clamped between the previous end and the next aligned start.
 
-    Runs of words without spans are folded by themselves, as the previous end runs through them.
+    Aligned starts that go back raise. The previous end runs through words without spans as a running
+    maximum of their clamped ends, from the aligned word before them on. ``word_source`` stays where there is one.
     """
     timed = word_spans(spans, keys).withColumnsRenamed({"start": "a", "end": "b"})
     joined = words.join(timed, [*keys, "word_idx"], "left")
-    known = neighbours(neighbours(joined, keys, ["word_idx"], "b").withColumnRenamed("before", "floor").drop("after"), keys, ["word_idx"], "a").withColumnRenamed("after", "ceiling").drop("before")
+    known = neighbours(joined, keys, ["word_idx"], "b").withColumnRenamed("before", "floor").drop("after")
+    known = neighbours(known, keys, ["word_idx"], "a").withColumnsRenamed({"after": "ceiling", "before": "last_a"})
+    back = F.col("a") < F.col("last_a")
+    known = known.withColumn("a", F.when(back, F.raise_error(F.lit("aligned spans are not monotonic")).cast("double")).otherwise(F.col("a")))
     lo, hi = F.coalesce("floor", F.lit(0.0)), F.coalesce("ceiling", F.lit(float("inf")))
     w = Window.partitionBy(*keys).orderBy("word_idx")
-    run = known.withColumn("fresh", F.coalesce((F.col("a").isNotNull()) | (F.lag("a").over(w).isNotNull()), F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(w))
-    # the running end of a clamped run is the running maximum of its clamped ends
+    fresh = F.col("a").isNotNull() | F.coalesce(F.lag("a").over(w).isNotNull(), F.lit(True))
+    run = known.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(w))
     r = Window.partitionBy(*keys, "run").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.least(F.greatest("end", lo), hi)
-    out = run.withColumn("clamped", end).withColumn("reached", F.greatest(F.coalesce(F.max("clamped").over(r), lo), lo))
+    out = run.withColumn("clamped", F.least(F.greatest("end", "start", lo), hi)).withColumn("reached", F.greatest(F.coalesce(F.max("clamped").over(r), lo), lo))
     start = F.least(F.greatest("start", F.col("reached")), hi)
-    return out.select(*keys, "word_idx", "text", F.coalesce("a", start).alias("start"), F.coalesce("b", F.greatest(F.col("clamped"), start)).alias("end"), F.when(F.col("a").isNull(), F.lit("whisper")).otherwise(F.lit("mms_align")).alias("word_source"))
+    own = F.col("word_source") if "word_source" in words.columns else F.lit("whisper")
+    return out.select(*keys, "word_idx", "text", F.coalesce("a", start).alias("start"), F.coalesce("b", F.greatest(F.col("clamped"), start)).alias("end"), F.when(F.col("a").isNull(), own).otherwise(F.lit("mms_align")).alias("word_source"))
+
+
+def phonemes(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Span rows as phonemes with seconds and the word that they belong to."""
+    return spans.select(*keys, F.col("text").alias("symbol"), (F.col("start_frame") * FRAME_SECONDS).alias("start"), ((F.col("end_frame") + 1) * FRAME_SECONDS).alias("end"), F.col("word_idx").alias("parent_word_idx"), F.lit("mms_align").alias("phoneme_source"))
 
 
 def attached(spans: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:

@@ -123,3 +123,16 @@ def deduplicated_words(words: DataFrame, keys: list[str], window: float = 0.25)
         lambda s: s["out"],
     )
     return runs.withColumn("word_idx", F.col("word_idx").cast("long")).groupBy(*keys, "run").agg(items.alias("items")).select(*keys, F.inline(kept))
+
+
+def document(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, sections): words nested in lines and sections, each with its first start and last end.
+
+    ``tokens``: (key, section_index, line_index, word_idx, text, start, end).
+    """
+    word = F.struct("word_idx", "text", "start", "end")
+    lines = tokens.groupBy(key, "section_index", "line_index").agg(F.array_sort(F.collect_list(word)).alias("words"), F.min("start").alias("start"), F.max("end").alias("end"))
+    text = F.array_join(F.transform("words", lambda w: w["text"]), " ")
+    line = F.struct("line_index", F.lit("lyric").alias("line_type"), text.alias("text"), "start", "end", "words")
+    sections = lines.groupBy(key, "section_index").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return sections.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section_index", "start", "end", "lines"))).alias("sections"))

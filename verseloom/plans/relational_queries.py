@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verseloom.functions import scores as S
 from verseloom.functions import text as X
+from verseloom.functions import timecode as C
 from verseloom.operators import distance as D
 from verseloom.operators import gate as G
 from verseloom.operators import joins as J
@@ -426,3 +427,48 @@ def archive_words(spark, d):
 def ignorable_words(spark, d):
     w = V.timed_words(read(spark, d, "documents"))
     return w.groupBy("doc_id").agg(F.count_if(X.ignorable("text")).alias("skipped"), F.count_if(X.special_token("text")).alias("special"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH RECURSIVE {WORDS}, al AS (SELECT doc_id, word_idx, text, start, "end", CASE WHEN word_idx % 4 = 1 THEN (word_idx * 24) * 0.02::DOUBLE END AS a, CASE WHEN word_idx % 4 = 1 THEN (word_idx * 24 + 13) * 0.02::DOUBLE END AS b FROM words),
+    k AS MATERIALIZED (SELECT *, first_value(a IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY word_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi, coalesce(last_value(b IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS lo,
+      count(a) OVER (PARTITION BY doc_id ORDER BY word_idx) AS run FROM al), n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, run, a IS NULL ORDER BY word_idx) AS pos FROM k),
+    r AS (SELECT doc_id, run, pos, word_idx, text, least(greatest(start, lo), coalesce(hi, 'Infinity'::DOUBLE)) AS s, least(greatest("end", greatest(start, lo)), coalesce(hi, 'Infinity'::DOUBLE)) AS e FROM n WHERE a IS NULL AND pos = 1
+      UNION ALL SELECT n.doc_id, n.run, n.pos, n.word_idx, n.text, least(greatest(n.start, r.e), coalesce(n.hi, 'Infinity'::DOUBLE)), least(greatest(n."end", greatest(n.start, r.e)), coalesce(n.hi, 'Infinity'::DOUBLE)) FROM r JOIN n ON n.doc_id = r.doc_id AND n.run = r.run AND n.a IS NULL AND n.pos = r.pos + 1)
+    SELECT doc_id, word_idx, text, s AS start, e AS "end", 'whisper' AS word_source FROM r UNION ALL SELECT doc_id, word_idx, text, a, b, 'mms_align' FROM n WHERE a IS NOT NULL"""
+)
+def refined_words(spark, d):
+    w = V.timed_words(read(spark, d, "documents"))
+    at = F.col("word_idx") * 24
+    spans = w.where("word_idx % 4 = 1").select("doc_id", "word_idx", at.alias("start_frame"), (at + 12).alias("end_frame"))
+    return W.refined_words(w, spans, ["doc_id"])
+
+
+@query(
+    f"""WITH {WORDS}, l AS (SELECT doc_id, word_idx // 40 AS s, word_idx // 6 AS l, string_agg(text, ' ' ORDER BY word_idx) AS text, min(start) AS start, max("end") AS "end" FROM words GROUP BY ALL)
+    SELECT doc_id, s AS section_index, l AS line_index, text, start, "end" FROM l"""
+)
+def nested_document(spark, d):
+    w = V.timed_words(read(spark, d, "documents")).withColumn("line_index", F.floor(F.col("word_idx") / 6)).withColumn("section_index", F.floor(F.col("word_idx") / 40))
+    out = V.document(w, "doc_id").select("doc_id", F.inline("sections")).select("doc_id", "section_index", F.explode("lines").alias("x"))
+    return out.select("doc_id", "section_index", "x.line_index", "x.text", "x.start", "x.end")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, (o_totalprice * 7)::BIGINT AS n, floor(o_totalprice / 10)::BIGINT AS s FROM orders)
+    SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KiB', round_even(n / 1024.0::DOUBLE, 1)) ELSE printf('%.1f MiB', round_even(n / 1048576.0::DOUBLE, 1)) END AS bytes,
+    CASE WHEN s >= 3600 THEN printf('%dh%02dm%02ds', s // 3600, (s // 60) % 60, s % 60) ELSE printf('%dm%02ds', (s // 60) % 60, s % 60) END AS effort FROM o"""
+)
+def display_formats(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 7).cast("long").alias("n"), F.floor(F.col("o_totalprice") / 10).alias("s"))
+    return o.select("o_orderkey", C.bytes_text(F.col("n")).alias("bytes"), C.effort_text(F.col("s").cast("double")).alias("effort"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey, (o_orderkey % 100) / 100.0::DOUBLE AS p, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 97) / 97.0::DOUBLE END AS b FROM orders)
+    SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN true ELSE p >= 0.8 AND (b IS NULL OR p >= b - 0.02) END AS passes FROM s"""
+)
+def reference_gate(spark, d):
+    k = F.col("o_orderkey")
+    o = read(spark, d, "orders").select("o_orderkey", F.when(k % 11 != 0, k % 100 / 100.0).alias("phase_similarity"), F.when(k % 3 > 0, k % 97 / 97.0).alias("baseline_similarity"))
+    return o.select("o_orderkey", G.reference_gate(o).alias("passes"))
