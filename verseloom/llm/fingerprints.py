@@ -16,102 +16,57 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseloom.llm.icws import Sampler, named, term_hash
-from verseloom.llm.shared import map_arrow, rows, shuffle_partitions, words_of
+from verseloom.llm.shared import map_arrow, rows, shuffle_partitions
+from verseloom.llm.word_hash import hashed_words
 
 SAMPLES = 128
-#: Words that a worker numbers, counts of a word told apart, and rows of samples kept (1 KB each).
-VOCABULARY, COUNTS, KEPT = 150_000, 8, 32_768
-
-
-class _Numbers(dict):
-    """Numbers words as they come; ``fresh`` are those not yet hashed."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = k = len(self)
-        self.fresh.append(word)
-        return k
+#: Slots for the samples of (word, count) pairs that a worker has met: 1 KB each.
+SLOTS = 32_768
 
 
 class Fingerprinter:
-    """Keeps the samples of (word, count) pairs that it has met, so a text costs look-ups and one minimum."""
+    """Keeps samples of (word, count) pairs in directly mapped slots, so most of a text costs look-ups and a minimum."""
 
     def __init__(self, k: int = SAMPLES) -> None:
         self.sampler = Sampler(k)
-        self.rows = np.empty((KEPT, k), np.uint64)
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers = _Numbers()
-        self.terms, self.lengths = np.empty(2 * VOCABULARY, np.uint64), np.empty(2 * VOCABULARY, np.float64)
-        self.used = 0
-        self.row_of = np.full((2 * VOCABULARY, COUNTS), -1, np.int32)
-
-    def _number(self, words: list[str]) -> np.ndarray:
-        if len(self.numbers) >= VOCABULARY:
-            self.forget()
-        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if new := self.numbers.fresh:
-            first = len(self.numbers) - len(new)
-            self.terms[first : len(self.numbers)] = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new]
-            self.lengths[first : len(self.numbers)] = [len(w) for w in new]
-            new.clear()
-        return ids
-
-    def _samples(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Least samples of up to KEPT pairs."""
-        few = counts < COUNTS
-        ids_few, counts_few = ids[few], counts[few]
-        at = self.row_of[ids_few, counts_few]
-        if (missing := at < 0).any():
-            if self.used + int(missing.sum()) > KEPT:
-                self.row_of.fill(-1)
-                self.used, missing = 0, np.ones(len(at), bool)
-            i, c = ids_few[missing], counts_few[missing]
-            slots = np.arange(self.used, self.used + len(i), dtype=np.int32)
-            self.used += len(i)
-            weight = np.log(c * self.lengths[i])
-            for k in range(0, len(i), 256):
-                self.rows[slots[k] : slots[min(k + 256, len(i)) - 1] + 1] = self.sampler.samples(self.terms[i[k : k + 256]], weight[k : k + 256])
-            self.row_of[i, c] = slots
-            at[missing] = slots
-        parts = [self.rows.take(at, axis=0).min(axis=0)] if len(at) else []
-        if not few.all():
-            i = ids[~few]
-            weight = np.log(counts[~few] * self.lengths[i])
-            parts += [self.sampler.samples(self.terms[i[k : k + 256]], weight[k : k + 256]).min(axis=0) for k in range(0, len(i), 256)]
-        return functools.reduce(np.minimum, parts)
+        self.rows = np.empty((SLOTS, k), np.uint64)
+        self.keys = np.zeros(SLOTS, np.uint64)
+
+    def _least(self, terms: np.ndarray, counts: np.ndarray, ln_weight: np.ndarray) -> np.ndarray:
+        key = (terms ^ counts.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.intp)
+        known = self.keys[slot] == key
+        least = [self.rows.take(slot[known], axis=0).min(axis=0)] if known.any() else []
+        new = np.flatnonzero(~known)
+        for k in range(0, len(new), 256):
+            part = new[k : k + 256]
+            made = self.sampler.samples(terms[part], ln_weight[part])
+            least.append(made.min(axis=0))
+            own, first = np.unique(slot[part], return_index=True)
+            self.rows[own], self.keys[own] = made[first], key[part][first]
+        return functools.reduce(np.minimum, least)
 
     def signature(self, text: str) -> np.ndarray:
         """uint16 sample names; zeros for a blank text."""
-        words = words_of(text) or [x for x in [text.strip()] if x]
-        if not words:
-            return np.zeros(self.sampler.k, np.uint16)
-        if len(words) > VOCABULARY:  # a text that may not fit the numbers: by itself, in steps
-            items = list(Counter(words).items())
-            least = None
-            for lo in range(0, len(items), 256):
-                part = items[lo : lo + 256]
-                found = self.sampler.samples(np.array([term_hash(w) for w, _ in part], np.uint64), np.log([n * len(w) for w, n in part])).min(axis=0)
-                least = found if least is None else np.minimum(least, found)
-        else:
-            ids, counts = np.unique(self._number(words), return_counts=True)
-            least = functools.reduce(np.minimum, [self._samples(ids[k : k + KEPT // 2], counts[k : k + KEPT // 2]) for k in range(0, len(ids), KEPT // 2)])
-        return np.maximum(named(least).astype(np.uint16), 1)
+        h, lengths = hashed_words(text)
+        if not len(h):
+            blank = text.strip()
+            if not blank:
+                return np.zeros(self.sampler.k, np.uint16)
+            h, lengths = np.array([term_hash(blank)], np.uint64), np.ones(1)
+        terms, first, counts = np.unique(h, return_index=True, return_counts=True)
+        ln_weight = np.log(counts * lengths[first])
+        parts = [self._least(terms[k : k + 4096], counts[k : k + 4096], ln_weight[k : k + 4096]) for k in range(0, len(terms), 4096)]
+        return np.maximum(named(functools.reduce(np.minimum, parts)).astype(np.uint16), 1)
 
 
 @functools.cache
