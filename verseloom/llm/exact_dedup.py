@@ -91,6 +91,27 @@ def compacted(runs: DataFrame) -> DataFrame:
     return runs.groupBy("digest").agg(first.alias("first"), F.sum("n").alias("n")).select("digest", F.col("first.least").alias("least"), F.col("first.row_key").alias("least_key"), "n")
 
 
+def probe(runs: DataFrame, digests: list[bytes]) -> DataFrame:
+    """(digest, least, least_key, n) of a few digests, straight from the runs: filters first, then what is left."""
+    asked = list(digests)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, maybe = None, set()
+        for runs_, found, least, keys, n, blooms in rows(batches, 8192):
+            hits = []
+            for k, own in enumerate(runs_):
+                if own != name or blooms[k] is not None:
+                    name = own
+                    maybe = {d for d in asked if blooms[k] is None or may_hold(blooms[k], d)}
+                if maybe and found[k] in maybe:
+                    hits.append((own, found[k], least[k], keys[k], n[k], None))
+            cols = list(zip(*hits)) or [()] * 6
+            kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["run", "digest", "least", "row_key", "n", "bloom"])
+
+    return compacted(map_arrow(runs, run, "run string, digest binary, least long, row_key long, n long, bloom binary"))
+
+
 @functools.lru_cache(maxsize=4)
 def _plain(text: str | None) -> str:
     return re.sub("[\x20\x09-\x0D]+", " ", text or "")

@@ -84,7 +84,7 @@ HUB_ROWS = 256
 def compare_to_hubs(links: DataFrame, payload: DataFrame, same: Callable[[object, object], float], kind: str) -> DataFrame:
     """Applies ``same(hub payload, member payload)`` to every link and returns (id, hub, likeness).
 
-    ``links`` (id, hub) are narrow; ``payload`` (id, body) holds the large values, one row an id.
+    ``links`` (id, hub) are narrow and distinct; ``payload`` (id, body) holds the large values, equal ones for equal ids.
     A hub with many members is dealt over ceil(members / HUB_ROWS) salted groups, each of which gets
     one copy of the hub's payload: no task gets more of a hub's members than fit, and the copies grow
     with the links, not with their square. ``kind`` is the payload's SQL type.
@@ -94,7 +94,9 @@ def compare_to_hubs(links: DataFrame, payload: DataFrame, same: Callable[[object
     members = links.join(counts, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), "salts").alias("salt"), F.lit(1).alias("role"))
     hubs = counts.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = members.unionByName(hubs)
-    dealt = wanted.join(payload, "id").select("hub", "salt", "role", "id", "body")
+    # one payload an id: rows that repeat id and text would else multiply; all of it on one partitioning by id
+    needed = payload.join(wanted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    dealt = wanted.join(needed, "id").select("hub", "salt", "role", "id", "body")
     dealt = dealt.repartition(shuffle_partitions(spark), "hub", "salt").sortWithinPartitions("hub", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
