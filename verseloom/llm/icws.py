@@ -117,18 +117,6 @@ def named(packed: np.ndarray) -> np.ndarray:
     return np.maximum(packed.astype(np.uint32), 1)
 
 
-class TermHashes(dict):
-    """64-bit hashes of terms; a worker keeps those that it has met, up to a bound."""
-
-    def __missing__(self, term: str) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        self[term] = h = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
-        return h
-
-
-TERM_HASHES = TermHashes()
-
-
+@functools.lru_cache(maxsize=300_000)
 def term_hash(term: str) -> int:
-    return TERM_HASHES[term]
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))

@@ -32,8 +32,9 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verseloom.llm.icws import TERM_HASHES, Sampler
-from verseloom.llm.shared import compare_to_hubs, map_arrow, materialize, rows, shuffle_partitions, words_of
+from verseloom.llm.icws import Sampler
+from verseloom.llm.shared import compare_to_hubs, map_arrow, materialize, rows, shuffle_partitions
+from verseloom.llm.word_hash import word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -44,17 +45,19 @@ BLOCK = 512
 MAYBE = 0.66
 
 
-def shingles(words: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted, and how often each occurs."""
-    if not words:
+def shingles(h: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of word hashes, sorted, and how often each occurs."""
+    if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.fromiter(map(TERM_HASHES.__getitem__, words), np.uint64, len(words))
     size = min(size, len(h))
     out = h[: len(h) - size + 1].copy()
     for k in range(1, size):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[k : len(h) - size + 1 + k]
     out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(out ^ (out >> np.uint64(31)), return_counts=True)
+    out ^= out >> np.uint64(31)
+    out.sort()
+    fresh = np.flatnonzero(np.concatenate([[True], out[1:] != out[:-1]]))
+    return out[fresh], np.diff(np.append(fresh, len(out)))
 
 
 def weight_codes(terms: np.ndarray, tf: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -67,8 +70,9 @@ def weights(codes: np.ndarray) -> np.ndarray:
     return count * (1 + DAMP * level / LEVELS)
 
 
-def word_key(text: str, words: list[str]) -> bytes:
-    return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass") if words else b"\0" + text.encode("utf-8", "surrogatepass")).digest()
+def word_key(text: str, h: np.ndarray) -> bytes:
+    """Equal for texts of equal words; for texts without words, for equal texts."""
+    return hashlib.md5(h.tobytes() if len(h) else b"\0" + text.encode("utf-8", "surrogatepass")).digest()
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
@@ -104,9 +108,9 @@ def keys_and_frequencies(source: DataFrame) -> DataFrame:
         for doc, ids, texts in rows(batches):
             keys = []
             for text in texts:
-                words = words_of(text)
-                keys.append(word_key(text, words))
-                np.add.at(df, (shingles(words)[0] >> np.uint64(64 - DF_BITS)).astype(np.intp), 1)
+                h = word_hashes(text)
+                keys.append(word_key(text, h))
+                df[(shingles(h)[0] >> np.uint64(64 - DF_BITS)).view(np.int64)] += 1  # a text counts once a bucket
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
         parts = [(k, df[k * CHUNK : (k + 1) * CHUNK]) for k in range(len(df) // CHUNK)]
         parts = [(k, zlib.compress(v.astype("<i4").tobytes(), 1)) for k, v in parts if v.any()]
@@ -144,12 +148,12 @@ def signatures(source: DataFrame, levels: Broadcast) -> DataFrame:
         for ids, texts in rows(batches):
             found = [], [], []
             for i, text in zip(ids, texts):
-                words = words_of(text)
-                if not words:
+                h = word_hashes(text)
+                if not len(h):
                     continue
-                name = hash(tuple(words))
+                name = hash(h.tobytes())
                 if name not in seen:
-                    terms, tf = shingles(words)
+                    terms, tf = shingles(h)
                     sig = sampler.signature(terms, np.log(weights(weight_codes(terms, tf, table))))
                     if len(seen) > 2000:
                         seen.clear()
@@ -181,7 +185,7 @@ def bodies(source: DataFrame, levels: Broadcast) -> DataFrame:
         for ids, texts in rows(batches):
             out = []
             for text in texts:
-                terms, tf = shingles(words_of(text))
+                terms, tf = shingles(word_hashes(text))
                 out.append((terms >> np.uint64(32)).astype("<u4").tobytes() + weight_codes(terms, tf, levels.value).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "body"])
 
