@@ -229,6 +229,15 @@ def test_lsm_runs_and_filters(spark):
     for d, i, _ in rows:
         want[d].append(i)
     assert index == {d: (min(v), len(v)) for d, v in want.items()}
+    asked = [*list(want)[:5], hashlib.sha256(b"not there").digest()]
+    found = {bytes(r.digest): (r.least, r.n) for r in exact_dedup.probe(exact_dedup.sorted_runs(df, memtable=40), asked).collect()}
+    assert found == {d: index[d] for d in asked[:5]}
+
+
+def test_repeated_rows_do_not_multiply(spark):
+    rows = [(1, "same text"), *[(2, "same  text")] * 700, (3, "other")]
+    got = exact_dedup.decide(table(spark, rows)).collect()
+    assert len(got) == 702 and sum(r.kept for r in got) == 2 and {r.group_size for r in got} == {701, 1}
 
 
 def shingle_bag(t):
@@ -391,3 +400,15 @@ def test_escape_is_reversible(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.escape(F.col("t")).alias("e"))
     for r in df.collect():
         assert chat.unescape(r.e) == r.t and not any(c in r.e for c in chat.CONTROL)
+
+
+def test_word_hashes_follow_the_words():
+    rng, known = random.Random(9), {}
+    texts = [*(t or "" for t in ODD), *(" ".join(rng.choice(["the", "é", "a_b", "日本", "“x”", "B-c", "7"]) for _ in range(40)) for _ in range(50))]
+    for t in texts:
+        words, hashes = words_of(t), near_dedup.word_hashes(t).tolist()
+        assert len(words) == len(hashes)
+        assert all(known.setdefault(w, h) == h for w, h in zip(words, hashes))
+    assert len(set(known.values())) == len(known)
+    long = "alfa beta gama " * 80_000
+    assert near_dedup.word_hashes(long).tolist()[:6] == near_dedup.word_hashes("alfa beta gama " * 2).tolist() and len(near_dedup.word_hashes(long)) == 240_000
