@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import pathlib
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -24,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="verseloom-")
+        folder = tempfile.mkdtemp(prefix="verseloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = "file://" + folder
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
