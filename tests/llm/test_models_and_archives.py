@@ -182,3 +182,16 @@ def test_stages_take_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         before = stage(spark, before, SF)
         assert before.count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(llm.SQL))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want, got = c.execute(llm.SQL[name]).df(), llm.QUERIES[name](spark, SF).toPandas()
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns)
+    assert sorted(map(tuple, want[columns].astype(str).values)) == sorted(map(tuple, got[columns].astype(str).values))
