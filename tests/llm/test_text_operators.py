@@ -298,6 +298,15 @@ def test_near_dedup_against_all_pairs(spark, monkeypatch, block):
     assert near_dedup.classify(table(spark, [])).count() == 0
 
 
+def test_near_dedup_keeps_whole_counts(spark):
+    """Counts that differ by ten times part texts of the same shingles; a great shared count joins texts of many own ones."""
+    rng = random.Random(11)
+    own = [" ".join(f"{side}{rng.random()}" for _ in range(3500)) for side in "pq"]  # two words a number
+    rows = [(1, "a b c d e " * 20_000), (2, "a b c d e " * 200_000), (3, "x " * 80_000 + own[0]), (4, "x " * 80_000 + own[1])]
+    got = {r.doc_id: r.class_id for r in near_dedup.classify(table(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 140)] + [(200, k) for k in range(201, 260)]

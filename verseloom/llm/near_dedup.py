@@ -38,7 +38,7 @@ from verseloom.llm.word_hash import word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
-DAMP, LEVELS, MOST_TF = 0.05, 4, 13_000
+DAMP, LEVELS = 0.05, 4
 DF_BITS, CHUNK = 20, 4096
 BLOCK = 512
 #: Least share of equal samples at which a pair is verified: over three standard errors below the threshold.
@@ -62,7 +62,7 @@ def shingles(h: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
 
 def weight_codes(terms: np.ndarray, tf: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Count and idf level of each shingle in one number."""
-    return np.minimum(tf, MOST_TF) * (LEVELS + 1) + levels[(terms >> np.uint64(64 - DF_BITS)).astype(np.intp)]
+    return tf * (LEVELS + 1) + levels[(terms >> np.uint64(64 - DF_BITS)).astype(np.intp)]
 
 
 def weights(codes: np.ndarray) -> np.ndarray:
@@ -90,11 +90,18 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
 @functools.lru_cache(maxsize=2 * 512)
 def _body(packed: bytes) -> tuple[np.ndarray, np.ndarray, float]:
     """Names, weights and their sum."""
-    n = len(packed) // 6
-    w = weights(np.frombuffer(packed, "<u2", n, 4 * n))
+    size = packed[-1]
+    n = len(packed) // (4 + size)
+    w = weights(np.frombuffer(packed, f"<u{size}", n, 4 * n).astype(np.int64))
     return np.frombuffer(packed, "<u4", n), w, float(w.sum())
 
 
+def pack_body(terms: np.ndarray, codes: np.ndarray) -> bytes:
+    """32-bit names, weight codes of as many bytes as the greatest needs (2 or 8), and that number of bytes."""
+    size = 2 if not len(codes) or codes.max() < 1 << 16 else 8
+    return (terms >> np.uint64(32)).astype("<u4").tobytes() + codes.astype(f"<u{size}").tobytes() + bytes([size])
+
+
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("id", F.xxhash64("doc_id", "text"))
 
@@ -179,14 +186,14 @@ def _bands(sig: np.ndarray) -> list[int]:
 
 
 def bodies(source: DataFrame, levels: Broadcast) -> DataFrame:
-    """(id, body): 32-bit names of a text's distinct shingles, sorted, and 16-bit codes of their weights."""
+    """(id, body): 32-bit names of a text's distinct shingles, sorted, and codes of their whole weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in rows(batches):
             out = []
             for text in texts:
                 terms, tf = shingles(word_hashes(text))
-                out.append((terms >> np.uint64(32)).astype("<u4").tobytes() + weight_codes(terms, tf, levels.value).astype("<u2").tobytes())
+                out.append(pack_body(terms, weight_codes(terms, tf, levels.value)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "body"])
 
     return map_arrow(source.select("id", "text"), run, "id long, body binary")
