@@ -288,6 +288,25 @@ def test_limited_run_fails_the_full_set(spark):
     assert not r.full_set and not r.passed and r.failures[0] == "full set: 1 of 2"
 
 
+@pytest.mark.parametrize("phase, baseline, passed", [(0.79, None, False), (0.90, 0.93, False), (0.90, 0.91, True), (0.80, None, True), (None, 0.99, True)])
+def test_batch_gate_holds_the_reference(spark, phase, baseline, passed):
+    b, p = (metrics(spark).withColumn("reference_similarity", F.lit(x).cast("double")) for x in (baseline, phase))
+    rows = G.compared(b, p, "video")
+    r = G.batch_gate(rows, 1).first()
+    assert (r.passed, r.reference_gate, r.failures) == (passed, passed, [] if passed else ["reference gate failed"])
+    assert r.reference_count == (phase is not None) and r.least_similarity == phase
+    assert [x.gate for x in G.top_failures(rows, "video").collect()] == [] if passed else ["reference"]
+
+
+def test_batch_gate_totals_of_a_run(spark):
+    costs = metrics(spark).crossJoin(spark.createDataFrame([("v", 2.0, 5, 100, 150), ("w", 4.0, 6, 90, 170), ("x", None, None, None, None)], "id string, elapsed_seconds double, output_bytes long, cache_bytes_before long, cache_bytes_after long"))
+    r = G.batch_gate(G.compared(metrics(spark), costs.drop("video").withColumnRenamed("id", "video"), "video"), 1).first()
+    assert r.passed and r.n == 1 and r.p_slide_count == 10  # w and x have no baseline, but their costs count
+    assert (r.elapsed_total, r.elapsed_average, r.output_bytes, r.cache_growth) == (6.0, 3.0, 11, 80)
+    bare = G.batch_gate(G.compared(metrics(spark), metrics(spark), "video"), 1).first()
+    assert (bare.reference_gate, bare.least_similarity, bare.elapsed_total, bare.cache_growth) == (True, None, 0.0, 0)
+
+
 def test_captions(spark):
     vtt = "WEBVTT\n\n00:00:01.000 --> 00:00:02.000\n<c>alfa beta</c>\n\n00:00:02.000 --> 00:00:03.000 align:start\nbeta gama\n"
     f = spark.createDataFrame([(1, vtt)], "song int, vtt string")

@@ -73,6 +73,11 @@ def test_gate_report(spark):
     assert reports.duration(3725) == "1h02m05s"
 
 
+def test_report_has_all_rows(spark):
+    lines = reports.markdown_table(spark.range(10_050).orderBy("id")).split("\n")
+    assert lines[2:] == [f"| {k} |" for k in range(10_050)]
+
+
 def test_session_stream(spark, tmp_path):
     rows = [("u", "2024-01-01 00:00:00.0", "a"), ("u", "2024-01-01 00:00:00.3", "b"), ("u", "2024-01-01 00:00:02.0", "c"), ("u", "2024-01-01 00:01:00.0", "z")]
     df = spark.createDataFrame(rows, "user string, t string, w string").withColumn("ts", F.to_timestamp("t")).drop("t")

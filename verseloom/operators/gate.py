@@ -11,12 +11,25 @@ from verseloom.operators.quality import messages
 
 #: Metrics of an archive that the gate compares.
 METRICS = ("slide_count", "line_count", "over_hard", "over_target", "aux_words", "fast_transitions", "text_words", "hard_wrapped_line_count", "hard_wrapped_slide_count")
+#: What a phase may bring along for the totals of all comparisons, complete or not.
+RUN_COSTS = {"elapsed_seconds": "double", "output_bytes": "long", "cache_bytes_before": "long", "cache_bytes_after": "long"}
+#: Columns of ``batch_gate`` on expected texts and costs.
+REFERENCE_AND_COSTS = ("reference_count", "least_similarity", "elapsed_total", "elapsed_average", "output_bytes", "cache_growth", "reference_gate")
+REFERENCE_FAILED = "reference gate failed"
+
+
+def _optional(df: DataFrame, name: str, kind: str) -> Column:
+    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
 
 
 def compared(baseline: DataFrame, phase: DataFrame, key: str) -> DataFrame:
-    """Outer join of two metric tables as ``b_*`` and ``p_*``; ``complete`` where both sides are there."""
-    b = baseline.select(key, *(F.col(m).cast("long").alias(f"b_{m}") for m in METRICS))
-    p = phase.select(key, *(F.col(m).cast("long").alias(f"p_{m}") for m in METRICS))
+    """Outer join of two metric tables as ``b_*`` and ``p_*``; ``complete`` where both sides are there.
+
+    Either side may have ``reference_similarity``, null where a video has no expected text, and the phase
+    may have RUN_COSTS; columns that are not there count as null.
+    """
+    b = baseline.select(key, *(F.col(m).cast("long").alias(f"b_{m}") for m in METRICS), _optional(baseline, "reference_similarity", "double").alias("baseline_similarity"))
+    p = phase.select(key, *(F.col(m).cast("long").alias(f"p_{m}") for m in METRICS), _optional(phase, "reference_similarity", "double").alias("phase_similarity"), *(_optional(phase, n, t).alias(n) for n, t in RUN_COSTS.items()))
     return b.join(p, key, "full_outer").withColumn("complete", F.col("b_slide_count").isNotNull() & F.col("p_slide_count").isNotNull())
 
 
@@ -31,9 +44,13 @@ def content_scale() -> Column:
 
 
 def batch_gate(rows: DataFrame, expected: int, cfg: GateLimits = GateLimits()) -> DataFrame:
-    """One row: totals of complete comparisons, allowances and the outcome of every gate. One aggregation, map-side combined."""
+    """One row: totals of complete comparisons, allowances and the outcome of every gate. One aggregation, map-side combined.
+
+    Elapsed time, output bytes and cache growth count every comparison. Without expected texts the reference gate is that of the full set.
+    """
     c = F.col
-    done = rows.where("complete")
+    sides = [f"{s}_{m}" for s in "bp" for m in METRICS]
+    done = rows.withColumns({m: F.when(c("complete"), c(m)) for m in [*sides, "phase_similarity", "baseline_similarity"]})
     for f in ("slide", "line"):
         done = done.withColumn(f"{f}_base", comparable(f))
     done = done.withColumn("scale", content_scale())
@@ -42,7 +59,7 @@ def batch_gate(rows: DataFrame, expected: int, cfg: GateLimits = GateLimits()) -
         return F.bool_and(c(f"p_{f}_count") <= F.greatest(c(f"{f}_base") + slack, F.ceil(c(f"{f}_base") * ratio * c("scale"))))
 
     totals = done.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count_if("complete").alias("n"),
         *(F.coalesce(F.sum(f"{s}_{m}"), F.lit(0)).alias(f"{s}_{m}") for s in "bp" for m in METRICS[:7]),
         *(F.coalesce(F.sum(f"{f}_base"), F.lit(0)).alias(f"{f}_base") for f in ("slide", "line")),
         F.coalesce(F.sum(F.ceil(c("slide_base") * cfg.total_slide_ratio * c("scale"))), F.lit(0)).alias("slide_allowance"),
@@ -50,7 +67,14 @@ def batch_gate(rows: DataFrame, expected: int, cfg: GateLimits = GateLimits()) -
         F.coalesce(F.sum(F.greatest(c("p_slide_count") - 1, F.lit(0))), F.lit(0)).alias("slots"),
         F.coalesce(within("slide", cfg.video_slide_ratio, cfg.slide_slack), F.lit(True)).alias("each_slide"),
         F.coalesce(within("line", cfg.video_line_ratio, cfg.line_slack), F.lit(True)).alias("each_line"),
-        F.coalesce(F.bool_and(safe_ratio(c("p_over_target"), c("p_line_count")) <= cfg.over_target_ratio), F.lit(True)).alias("each_target"),
+        F.coalesce(F.bool_and(~c("complete") | (safe_ratio(c("p_over_target"), c("p_line_count")) <= cfg.over_target_ratio)), F.lit(True)).alias("each_target"),
+        F.coalesce(F.bool_and(reference_gate(done, cfg)), F.lit(True)).alias("each_reference"),
+        F.count("phase_similarity").alias("reference_count"),
+        F.min("phase_similarity").alias("least_similarity"),
+        F.coalesce(F.sum("elapsed_seconds"), F.lit(0.0)).alias("elapsed_total"),
+        F.coalesce(F.avg("elapsed_seconds"), F.lit(0.0)).alias("elapsed_average"),
+        F.coalesce(F.sum("output_bytes"), F.lit(0)).alias("output_bytes"),
+        F.coalesce(F.max("cache_bytes_after") - F.min("cache_bytes_before"), F.lit(0)).alias("cache_growth"),
     )
     full = c("n") == expected
     aux_delta = c("p_aux_words") - c("b_aux_words")
@@ -63,10 +87,11 @@ def batch_gate(rows: DataFrame, expected: int, cfg: GateLimits = GateLimits()) -
         (full & ((c("p_fast_transitions") <= c("b_fast_transitions")) | (safe_ratio(c("p_fast_transitions"), c("slots")) <= cfg.fast_ratio))).alias("fast_gate"),
         (full & (aux_delta <= F.greatest(F.lit(cfg.aux_words_least), F.ceil(c("b_aux_words") * cfg.aux_words_share))) & (safe_ratio(c("p_aux_words"), c("p_text_words")) <= cfg.aux_word_ratio)).alias("aux_gate"),
         (full & (safe_ratio(c("p_over_target"), c("p_line_count")) <= cfg.over_target_ratio) & c("each_target")).alias("target_gate"),
+        (full & c("each_reference")).alias("reference_gate"),
     )
     names = ("hard", "slide", "line", "fast", "aux", "target")
-    passed = gates.withColumn("passed", full & c("hard_gate") & c("slide_gate") & c("line_gate") & c("fast_gate") & c("aux_gate") & c("target_gate"))
-    return passed.withColumn("failures", messages((~c("full_set"), F.format_string(f"full set: %d of {expected}", "n")), *((~c(f"{g}_gate"), F.lit(f"{g} gate failed")) for g in names))).drop("each_slide", "each_line", "each_target")
+    passed = gates.withColumn("passed", full & c("hard_gate") & c("slide_gate") & c("line_gate") & c("fast_gate") & c("aux_gate") & c("target_gate") & c("reference_gate"))
+    return passed.withColumn("failures", messages((~c("full_set"), F.format_string(f"full set: %d of {expected}", "n")), *((~c(f"{g}_gate"), F.lit(f"{g} gate failed")) for g in names), (~c("reference_gate"), F.lit(REFERENCE_FAILED)))).drop("each_slide", "each_line", "each_target", "each_reference")
 
 
 def top_failures(rows: DataFrame, key: str, k: int = 5, cfg: GateLimits = GateLimits()) -> DataFrame:
@@ -81,6 +106,7 @@ def top_failures(rows: DataFrame, key: str, k: int = 5, cfg: GateLimits = GateLi
                 ("line", safe_ratio(c("p_line_count"), c("line_base")), c("p_line_count") > F.greatest(c("line_base") + cfg.line_slack, F.ceil(c("line_base") * cfg.video_line_ratio * c("scale")))),
                 ("target", safe_ratio(c("p_over_target"), c("p_line_count")), safe_ratio(c("p_over_target"), c("p_line_count")) > cfg.over_target_ratio),
                 ("fast", safe_ratio(c("p_fast_transitions"), F.greatest(c("p_slide_count") - 1, F.lit(1))), c("p_fast_transitions") > c("b_fast_transitions")),
+                ("reference", 1 - c("phase_similarity"), ~reference_gate(done, cfg)),
             )
         )
     )

@@ -12,10 +12,10 @@ def _cell(x: object) -> str:
     return " ".join(text.split()).replace("|", "\\|")
 
 
-def markdown_table(df: DataFrame, rows: int = 10_000) -> str:
-    """A table of at most ``rows`` rows, as a report is read by people."""
+def markdown_table(df: DataFrame) -> str:
+    """A table of all rows, read partition by partition."""
     head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}"
-    return "\n".join([head, *(f"| {' | '.join(map(_cell, r))} |" for r in df.limit(rows).collect())])
+    return "\n".join([head, *(f"| {' | '.join(map(_cell, r))} |" for r in df.toLocalIterator())])
 
 
 def report(title: str, sections: list[tuple[str, DataFrame | str]]) -> str:
