@@ -5,6 +5,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from verseloom import plans
 from verseloom.config import GateLimits, Layout
 from verseloom.operators import alignment as A
 from verseloom.operators import consensus as C
@@ -307,6 +308,43 @@ def test_batch_gate_totals_of_a_run(spark):
     assert (bare.reference_gate, bare.least_similarity, bare.elapsed_total, bare.cache_growth) == (True, None, 0.0, 0)
 
 
+def test_unmatched_spans_against_brute_force(spark):
+    """Runs of tokens and heard words without a match, by a loop over the matches."""
+    rng = random.Random(3)
+    vocabulary = "alfa bravo charlie delta echo foxtrot golfe hotel".split()
+    songs = {k: ([rng.choice([*vocabulary, "--"]) for _ in range(rng.randint(0, 40))], [rng.choice([*vocabulary, "uh"]) for _ in range(rng.randint(0, 40))]) for k in range(12)}
+    songs[12] = ("alfa bravo".split(), "alfa bravo".split())
+    form = lambda x: "" if x == "--" else x
+    tokens = spark.createDataFrame([(k, i, x, form(x)) for k, (a, _) in songs.items() for i, x in enumerate(a)], "song int, token_index int, text string, normalized string")
+    heard = spark.createDataFrame([(k, i, x) for k, (_, b) in songs.items() for i, x in enumerate(b)], "song int, word_idx int, text string")
+    matches = A.aligned_tokens(tokens, heard, "song")
+    got = {r.song: (r.lyric_spans, r.word_spans) for r in A.unmatched_spans(matches, tokens, heard, "song").collect()}
+    hits = {(r.song, r.token_index): r.word_idx for r in matches.collect()}
+
+    def spans(words, free):
+        out, last = [], None
+        for i in free:
+            if last is not None and i == last + 1:
+                out[-1].append(words[i])
+            else:
+                out.append([words[i]])
+            last = i
+        return [" ".join(x) for x in out][:5]
+
+    want = {}
+    for k, (a, b) in songs.items():
+        if a:
+            taken = {hits[k, i] for i in range(len(a))}
+            want[k] = spans(a, [i for i, x in enumerate(a) if form(x) and hits[k, i] is None]), spans(b, [i for i, x in enumerate(b) if x != "uh" and i not in taken])
+    assert got == want and got[12] == ([], []) and any(len(x) == 5 for x, _ in got.values())
+
+
+def test_lyric_coverage_names_the_lost_words(spark):
+    rows = plans.QUERIES["lyric_coverage"](spark, "/root/testdata/sf0.001").collect()
+    low = [r for r in rows if r.alignable and r.matched / r.alignable < 0.8]
+    assert low and all("; unmatched lyrics: " in r.messages for r in low)
+
+
 def test_captions(spark):
     vtt = "WEBVTT\n\n00:00:01.000 --> 00:00:02.000\n<c>alfa beta</c>\n\n00:00:02.000 --> 00:00:03.000 align:start\nbeta gama\n"
     f = spark.createDataFrame([(1, vtt)], "song int, vtt string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verseloom.config import FUZZY, SKIP_LYRIC, SKIP_WORD
 from verseloom.functions import text as X
+from verseloom.operators import sequence as W
 from verseloom.operators.similarity import token_likeness
 from verseloom.runtime import map_groups
 
@@ -88,3 +89,24 @@ def coverage(matches: DataFrame, tokens: DataFrame, heard: DataFrame, key: str)
     h = heard.groupBy(key).agg(F.count_if(X.ignorable("text")).alias("skipped"), F.count(F.lit(1)).alias("heard"))
     out = t.join(m, key, "left").join(h, key, "left").fillna(0, ["matched", "skipped", "heard"])
     return out.withColumn("coverage", F.when(F.col("alignable") == 0, 0.0).otherwise(F.col("matched") / F.col("alignable")))
+
+
+def _span_texts(words: DataFrame, key: str, index: str, name: str, limit: int = 5) -> DataFrame:
+    """(key, name): texts of the first ``limit`` runs of consecutive indexes, in order."""
+    runs = W.consecutive(words.select(key, F.col(index).cast("long").alias(index), "text"), [key], index)
+    items = F.array_sort(F.collect_list(F.struct(index, "text")))
+    joined = runs.groupBy(key, "span").agg(F.min(index).alias("first"), F.array_join(F.transform(items, lambda x: x["text"]), " ").alias("words"))
+    spans = F.array_sort(F.collect_list(F.struct("first", "words")))
+    return joined.groupBy(key).agg(F.slice(F.transform(spans, lambda x: x["words"]), 1, limit).alias(name))
+
+
+def unmatched_spans(matches: DataFrame, tokens: DataFrame, heard: DataFrame, key: str) -> DataFrame:
+    """(key, lyric_spans, word_spans): texts of the first runs of tokens and of heard words without a match, for every key of ``tokens``.
+
+    Tokens without letters and ignorable words can't match and belong to no run; they part the runs beside them.
+    """
+    lost = tokens.where("normalized <> ''").join(matches.where("word_idx is null").select(key, "token_index"), [key, "token_index"], "left_semi")
+    extra = heard.where(~X.ignorable("text")).join(matches.where("word_idx is not null").select(key, "word_idx"), [key, "word_idx"], "left_anti")
+    none = F.array().cast("array<string>")
+    out = tokens.select(key).distinct().join(_span_texts(lost, key, "token_index", "lyric_spans"), key, "left").join(_span_texts(extra, key, "word_idx", "word_spans"), key, "left")
+    return out.select(key, F.coalesce("lyric_spans", none).alias("lyric_spans"), F.coalesce("word_spans", none).alias("word_spans"))
