@@ -345,6 +345,46 @@ def test_lyric_coverage_names_the_lost_words(spark):
     assert low and all("; unmatched lyrics: " in r.messages for r in low)
 
 
+def sung(spark, *sources):
+    """Words of a song by source: (text, start, end) each."""
+    rows = [(7, name, k, *w) for name, words in sources for k, w in enumerate(words)]
+    return spark.createDataFrame(rows, "song int, source string, word_idx int, text string, start double, end double")
+
+
+def test_consensus_transcript_without_risk(spark):
+    """Three sources agree: the winners' words, and no fallback."""
+    words = [(t, 1.0 + 0.4 * k, 1.3 + 0.4 * k) for k, t in enumerate("grande amor de Deus".split())] + [(t, 9.0 + 0.4 * k, 9.3 + 0.4 * k) for k, t in enumerate("ele vive em mim".split())]
+    song = sung(spark, *((name, words) for name in ("turbo-vocals", "medium-vocals", "medium-original")))
+    got = C.transcript(song, "song").orderBy("word_idx").collect()
+    assert [(r.text, r.start, r.end) for r in got] == words
+    assert {(r.mode, r.reason) for r in got} == {("phrase-consensus", "")}
+    assert C.fallback(song, "song").count() == 0
+
+
+def test_consensus_transcript_at_risk(spark):
+    """Three sources that agree on nothing: the whole candidate of the best score, with the reason."""
+    texts = {"turbo-vocals": "grande amor de Deus", "medium-vocals": "xyz qqq www kkk", "medium-original": "ontem choveu muito aqui"}
+    song = sung(spark, *((name, [(t, 1.0 + 0.4 * k, 1.3 + 0.4 * k) for k, t in enumerate(text.split())]) for name, text in texts.items()))
+    got = C.transcript(song, "song").orderBy("word_idx").collect()
+    assert [r.text for r in got] == texts["turbo-vocals"].split() and {(r.source, r.mode) for r in got} == {("turbo-vocals", "whole-candidate")}
+    assert got[0].reason.startswith("low-confidence phrases 1/1 (100.0%)") and "selected `turbo-vocals` whole transcript" in got[0].reason
+    r = C.fallback(song, "song").first()
+    assert (r.source, r.n_words, r.reason) == ("turbo-vocals", 4, got[0].reason)
+
+
+def test_risk_reasons_and_repeated_words():
+    p = lambda source, a, b, *words: C.Phrase(source, a, b, "", "", words)
+    groups = [[p("a", k, k + 0.9), p("b", k, k + 0.9)] for k in range(10)] + [[p("a", 9.5, 11.0), p("b", 9.5, 11.0)]]
+    sure = [(g[0], 90.0, 2, "") for g in groups]
+    assert C.risk_reasons(groups, sure, 2) == ["overlapping phrase windows 1/10 (10.0%)"] and C.risk_reasons(groups, sure, 1) == []
+    apart, single = groups[:9], [(g[0], 90.0, 1, "") for g in groups[:9]]
+    assert C.risk_reasons(apart, single, 2) == [] and C.risk_reasons(apart, single, 3) == ["single-source phrase winners 9/9 (100.0%)"]
+    many = [[p("ab"[k % 2], float(k), k + 0.5)] for k in range(18)]
+    assert C.risk_reasons(many, [(g[0], 90.0, 2, "") for g in many], 2) == ["phrase fragmentation 18 decisions vs median candidate 9.0"]
+    decisions = [(p("a", 0, 1, ("Oh", 0.4, 0.5), ("oh", 0.0, 0.1)), 90.0, 2, ""), (p("b", 0, 1, ("oh,", 0.2, 0.3)), 90.0, 2, "")]
+    assert C.winners_words(decisions, {"Oh": "oh", "oh": "oh", "oh,": "oh"}) == [("oh", 0.0, 0.1, "a"), ("Oh", 0.4, 0.5, "a")]
+
+
 def test_captions(spark):
     vtt = "WEBVTT\n\n00:00:01.000 --> 00:00:02.000\n<c>alfa beta</c>\n\n00:00:02.000 --> 00:00:03.000 align:start\nbeta gama\n"
     f = spark.createDataFrame([(1, vtt)], "song int, vtt string")
