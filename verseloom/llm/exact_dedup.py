@@ -2,8 +2,8 @@ r"""Exact deduplication by a log-structured merge index (operator 5).
 
 Write path: every task puts (digest, smallest id, count) into a memtable; a full memtable is flushed as
 a sorted run with a Bloom filter of its digests. Compaction merges the runs, shard by shard, and keeps
-the smallest identifier; a digest that the filters place in one run only, with one row, needs no
-merging partner and passes straight through. Lookups join each row's digest to the compacted index.
+the smallest identifier: a grouped merge of all runs by digest, which does not use their order or filters.
+Lookups join each row's digest to the compacted index. The filters serve ``probe`` only, which no query calls.
 Every hit (a row that shares its digest with an earlier kept one) is verified byte by byte against the
 kept row's text; a hit whose bytes differ is put apart under its own key.
 
