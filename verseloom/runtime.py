@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import pathlib
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _SENT: set[str] = set()
 
@@ -19,7 +20,9 @@ def send_code(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId not in _SENT:
         root = pathlib.Path(__file__).resolve().parent
-        path = pathlib.Path(tempfile.mkdtemp(prefix="verseloom-")) / "verseloom.zip"
+        folder = tempfile.mkdtemp(prefix="verseloom-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file while it runs
+        path = pathlib.Path(folder) / "verseloom.zip"
         with zipfile.ZipFile(path, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, f"verseloom/{p.relative_to(root)}")
@@ -59,7 +62,3 @@ def map_groups(rows: DataFrame, key: str, order: list[str], fn: Callable[[object
             yield made(list(fn(now, group)))
 
     return dealt.mapInArrow(run, schema)
-
-
-def collected(rows: DataFrame, keys: list[str], order: list[str], fields: list[str], name: str = "items") -> DataFrame:
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias(name))
