@@ -3,7 +3,8 @@
 A document's terms are its words (folded case), weighted by the characters they cover (count times
 length), so short function words don't make strangers alike. SAMPLES gamma-based samples a document,
 16 bits each, are its fingerprint; the share of equal samples estimates the generalised Jaccard
-similarity of the weighted words. A text without words is one term, a blank or null text none.
+similarity of the weighted words. A text without words is one term, a blank or null text none. Each
+sample of each term has its own draws, so the standard error is that of SAMPLES coin throws at any length.
 
 Neighbours in descending doc_id come from one range shuffle: quantiles of the ids are the first ids of
 the partitions, and the row that opens a partition is also sent to the one before, so no task waits

@@ -1,115 +1,120 @@
 """Improved consistent weighted sampling: the kernel that fingerprints and near-dedup share.
 
-For a term of weight S and each of k samples, with r, c ~ Gamma(2, 1) and b ~ U(0, 1) fixed by the
-term: t = floor(ln S / r + b), ln a = ln c - r (t - b + 1). The term with the least a is the sample, and
-two weighted sets agree in (term, t) with a probability equal to their generalised Jaccard similarity.
-
-The draws come from a table of 2**16 triples that a term's hash addresses anew for each sample, so a
-term costs a multiplication, a shift and three look-ups a sample, not five logarithms.
+For a term of weight S and each of k samples, with r, c ~ Gamma(2, 1) and b ~ U(0, 1) fixed by the term
+and the sample: t = floor(ln S / r + b), ln a = ln c - r (t - b + 1). The term with the least a is the
+sample, and two weighted sets agree in (term, t) with a probability equal to their generalised Jaccard
+similarity.
+
+Every draw is made anew from (term hash, sample) by a counter-like mix of 32 bits, so no two terms or
+samples share draws, however many terms a set has; a gamma draw is minus the log of two uniform ones.
+Arrays have a row a sample, so that all steps run along contiguous terms.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable
 
 import numpy as np
 import xxhash
 
-TABLE_BITS = 16
-#: Weights whose tables a worker keeps: 256 KB each.
-KEPT_TABLES = 96
-#: Terms of one weight in a text that make its table worth while.
-TABLE_TERMS = 48
-#: Makes ln a positive, so that its bits sort as it does.
-SHIFT = 64.0
+#: Terms that are drawn at once: the arrays of one step stay in a core's cache.
+STEP = 384
+_EXPONENT, _LESS = np.uint32(0x3F800000), np.float32(1 - 2**-24)
+#: Odd factors of the mix, one for each of the five uniform draws.
+_MIX = [np.uint32(x) for x in (0x7FEB352D, 0x846CA68B, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)]
 
 
 class Sampler:
     def __init__(self, k: int, seed: int = 20_240_229) -> None:
         rng = np.random.Generator(np.random.PCG64(seed))
-        n = 1 << TABLE_BITS
         self.k = k
-        r, ln_c, b = rng.gamma(2.0, 1.0, n), np.log(rng.gamma(2.0, 1.0, n)), rng.random(n)
-        # ln a = (ln c - r + r b) - r t, with t = floor(ln S / r + b)
-        self.r, self.over_r, self.b, self.base = (x.astype(np.float32) for x in (r, 1 / r, b, ln_c - r + r * b + SHIFT))
-        self.tables: dict[float, np.ndarray] = {}
-        self.times = rng.integers(1, 1 << 63, k, np.uint64) << np.uint64(1) | np.uint64(1)
+        self.low, self.high = (rng.integers(0, 1 << 31, (k, 1), np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
+        self.every = np.arange(k)
+
+    @functools.cached_property
+    def space(self) -> list[np.ndarray]:
+        return [np.empty(self.k * STEP, np.uint32) for _ in range(2)] + [np.empty(self.k * STEP, np.float32) for _ in range(4)]
+
+    def draws(self, terms: np.ndarray, ln_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a and t, (k, terms) float32 each, of at most STEP terms; the arrays are used again by the next call."""
+        n = len(terms)
+        h, x, r, c, u, t = (a[: self.k * n].reshape(self.k, n) for a in self.space)
+        np.multiply(terms.astype(np.uint32), self.low, out=h)
+        np.multiply((terms >> np.uint64(32)).astype(np.uint32), self.high, out=x)
+        h += x
+
+        def uniform(k: int, out: np.ndarray) -> np.ndarray:
+            np.right_shift(h, np.uint32(16), out=x)
+            np.bitwise_xor(h, x, out=h)
+            np.multiply(h, _MIX[k], out=h)
+            np.right_shift(h, np.uint32(9), out=x)
+            np.bitwise_or(x, _EXPONENT, out=x)  # a float of [1, 2)
+            return np.subtract(x.view(np.float32), _LESS, out=out)
+
+        uniform(0, r)
+        r *= uniform(1, u)
+        np.log(r, out=r)  # -r
+        uniform(2, c)
+        c *= uniform(3, u)
+        np.log(c, out=c)
+        np.negative(c, out=c)
+        np.log(c, out=c)
+        uniform(4, u)
+        np.divide(-ln_weight.astype(np.float32), r, out=t)
+        t += u
+        np.floor(t, out=t)
+        np.subtract(t, u, out=u)
+        u += np.float32(1)
+        u *= r
+        c += u
+        return c, t
 
     def samples(self, terms: np.ndarray, ln_weight: np.ndarray) -> np.ndarray:
-        """(terms, k) uint64: ln a in the upper half, a hash of (term, t) in the lower."""
-        at = terms[:, None] * self.times
-        at >>= np.uint64(64 - TABLE_BITS)
-        at = at.view(np.int64)
-        t = self.over_r.take(at)
-        t *= ln_weight.astype(np.float32)[:, None]
-        t += self.b.take(at)
-        np.floor(t, out=t)
-        name = t.astype(np.int32).view(np.uint32)
-        name *= np.uint32(0x9E3779B1)
-        name ^= (terms >> np.uint64(20)).astype(np.uint32)[:, None]
-        t *= self.r.take(at)
-        np.subtract(self.base.take(at), t, out=t)
-        np.maximum(t, 0, out=t)
-        packed = t.view(np.uint32).astype(np.uint64)
-        packed <<= np.uint64(32)
-        packed |= name
-        return packed
-
-    def _at(self, terms: np.ndarray) -> np.ndarray:
-        at = terms[:, None] * self.times
-        at >>= np.uint64(64 - TABLE_BITS)
-        return at.view(np.int64)
-
-    @staticmethod
-    def _better(members: np.ndarray, ln_a: np.ndarray, least: np.ndarray, winner: np.ndarray) -> None:
-        """Takes over the samples in which one of ``members`` is below the least so far."""
-        first = ln_a.argmin(axis=0)
-        value = ln_a[first, columns_of(len(least))]
-        better = value < least
-        least[better], winner[better] = value[better], members[first[better]]
-
-    def table(self, ln_weight: float) -> np.ndarray:
-        """ln a of every draw at one weight; the tables of frequent weights are kept."""
-        if (found := self.tables.get(ln_weight)) is None:
-            if len(self.tables) >= KEPT_TABLES:
-                self.tables.clear()
-            found = self.tables[ln_weight] = self.base - self.r * np.floor(np.float32(ln_weight) * self.over_r + self.b)
-        return found
-
-    def signature(self, terms: np.ndarray, ln_weight: np.ndarray, step: int = 256) -> np.ndarray:
-        """uint32 sample names of a weighted set; zeros for an empty one.
-
-        Terms of equal weight share one table of ln a, so each costs a look-up a sample.
+        """(terms, k) uint64: bits that sort as ln a in the upper half, the name of (term, t) in the lower."""
+        out = np.empty((len(terms), self.k), np.uint64)
+        for lo in range(0, len(terms), STEP):
+            part = terms[lo : lo + STEP]
+            ln_a, t = self.draws(part, ln_weight[lo : lo + STEP])
+            bits = ln_a.view(np.uint32)
+            bits = bits ^ ((bits.view(np.int32) >> np.int32(31)).view(np.uint32) | np.uint32(1 << 31))
+            packed = bits.astype(np.uint64)
+            packed <<= np.uint64(32)
+            packed |= _names(part, t)
+            out[lo : lo + STEP] = packed.T
+        return out
+
+    def signatures(self, bags: Iterable[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """uint32 sample names of each weighted set (terms, ln weights); zeros for an empty one.
+
+        Terms of several sets are drawn together, so small sets cost no more a term than large ones.
         """
-        if not len(terms):
-            return np.zeros(self.k, np.uint32)
-        ln_weight = ln_weight.astype(np.float32)
-        weights, which = np.unique(ln_weight, return_inverse=True)
-        least, winner = np.full(self.k, np.inf, np.float32), np.zeros(self.k, np.intp)
-        sizes = np.bincount(which)
-        rare = []
-        for g, w in enumerate(weights.tolist()):
-            if sizes[g] < TABLE_TERMS and w not in self.tables:
-                rare.append(g)
-                continue
-            table = self.table(w)
-            members = np.flatnonzero(which == g) if len(weights) > 1 else np.arange(len(terms))
-            for lo in range(0, len(members), step):
-                self._better(members[lo : lo + step], table.take(self._at(terms[members[lo : lo + step]]), mode="clip"), least, winner)
-        members = np.flatnonzero(np.isin(which, rare)) if rare else ()
-        for lo in range(0, len(members), step):
-            part = members[lo : lo + step]
-            at = self._at(terms[part])
-            t = np.floor(ln_weight[part, None] * self.over_r.take(at) + self.b.take(at))
-            self._better(part, self.base.take(at) - self.r.take(at) * t, least, winner)
-        at = (terms[winner] * self.times >> np.uint64(64 - TABLE_BITS)).view(np.int64)
-        t = np.floor(ln_weight[winner] * self.over_r[at] + self.b[at]).astype(np.int32).view(np.uint32)
-        return np.maximum((terms[winner] >> np.uint64(20)).astype(np.uint32) ^ t * np.uint32(0x9E3779B1), np.uint32(1))
-
-
-@functools.cache
-def columns_of(n: int) -> np.ndarray:
-    return np.arange(n)
+        bags = list(bags)
+        least = np.full((len(bags), self.k), np.inf, np.float32)
+        names = np.zeros((len(bags), self.k), np.uint32)
+        ends = np.cumsum([len(t) for t, _ in bags])
+        if not len(ends) or not ends[-1]:
+            return list(names)
+        terms, weight = np.concatenate([t for t, _ in bags]), np.concatenate([w for _, w in bags])
+        starts = ends - [len(t) for t, _ in bags]
+        for lo in range(0, len(terms), STEP):
+            part = terms[lo : lo + STEP]
+            ln_a, t = self.draws(part, weight[lo : lo + STEP])
+            for g in range(int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(starts, lo + len(part), "left"))):
+                a, b = max(int(starts[g]) - lo, 0), min(int(ends[g]) - lo, len(part))
+                if a >= b:
+                    continue
+                at = ln_a[:, a:b].argmin(axis=1) + a
+                value = ln_a[self.every, at]
+                better = value < least[g]
+                least[g][better] = value[better]
+                names[g][better] = np.maximum(_names(part[at], t[self.every, at]), np.uint32(1))[better]
+        return list(names)
+
+
+def _names(terms: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """32-bit names of pairs of a term and its t."""
+    return (terms >> np.uint64(20)).astype(np.uint32) ^ t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
 
 
 def named(packed: np.ndarray) -> np.ndarray:

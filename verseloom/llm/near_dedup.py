@@ -1,22 +1,26 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles (operator 8).
 
 1. One pass makes each text's word key (equal words: one class at once, copies are not compared any
-   further) and counts document frequencies of all shingles into 2**20 hashed buckets, a table of fixed
-   size, so weights need no join. A shingle of SHINGLE words weighs tf * (1 + DAMP * idf), with
-   idf = ln(N/df)/ln N in steps of 1/LEVELS: it is damped, as a shingle's df counts the copies in its
-   own group, and with full idf a group would fall apart as it grows.
-2. One pass signs every text by BANDS * ROWS samples and hashes them into bands.
+   further) and counts document frequencies in 2**20 hashed buckets. Only a shingle in a bucket of at
+   least FREQUENT of all documents can itself be so frequent; a second pass counts these exactly. A shingle
+   of SHINGLE words weighs tf * idf with idf = 1 + ln(1 / max(df / N, FREQUENT)): shingles of fewer than
+   FREQUENT of all documents are equally rare. So the table of frequencies is exact, has at most
+   (shingles a document) / FREQUENT rows whatever the corpus, and depends on shares alone. The floor also
+   keeps groups of copies together: their shingles' frequencies count the copies themselves.
+2. One pass signs every text by BANDS * ROWS samples, hashes them into bands and keeps its weights.
 3. In each band bucket every text is linked to the bucket's least text; of these links each text tries
    one. Links are verified by exact weighted Jaccard on the whole texts and joined into components.
-4. Texts that share a bucket but not yet a component are compared in blocks of BLOCK by their
-   signatures; those that can reach the threshold are verified too, by falling agreement, unless they
-   have been joined by then. So every candidate of the banding is in one component or was tested,
-   whatever the bucket's size, and no link is lost to a cap.
-
-Each text gets the class of its component, named by the smallest doc_id. Null texts count as empty;
-texts without words are alike only if equal; texts of fewer than SHINGLE words are one shingle. Rows
-that repeat an id are told apart by a hash of id and text. Texts are read whole. An empty table gives an
-empty result. Only the two columns named are read, so extra columns don't clash.
+4. In buckets of several components, texts outside the largest one are compared with all others in blocks:
+   first by signatures alone, then, where a pair agrees in half of its samples or more (a pair of
+   similarity 0.8 falls below with a probability under 1e-11), by exact weighted Jaccard on the whole texts,
+   by falling agreement, unless the two have been joined by then. A component of many texts is thus sent
+   once for each block of the others, not for each of its own, and no bucket has a cap.
+
+Each text gets the class of its component, named by the smallest doc_id; the row of the smallest doc_id
+stays (of rows that repeat it, one). ``n_links`` counts the verified links of a row's text that made its
+class. Null texts count as empty; texts without words are alike only if equal; texts of fewer than SHINGLE
+words are one shingle. Texts are read whole. An empty table gives an empty result. Only the two columns
+named are read, so extra columns don't clash.
 """
 
 from __future__ import annotations
@@ -28,21 +32,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verseloom.llm.icws import Sampler
-from verseloom.llm.shared import compare_to_hubs, map_arrow, materialize, rows, shuffle_partitions
+from verseloom.llm.shared import compare_to_hubs, first_of_each, join_counted, map_arrow, materialize, rows, shuffle_partitions, unused
 from verseloom.llm.word_hash import word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
-DAMP, LEVELS = 0.05, 4
+#: Share of documents below which a shingle is rare.
+FREQUENT = 0.01
 DF_BITS, CHUNK = 20, 4096
-BLOCK = 512
-#: Least share of equal samples at which a pair is verified: over three standard errors below the threshold.
-MAYBE = 0.66
+#: Texts of a block when signatures are compared, and when whole texts are; bytes of texts of a block.
+SIGNATURE_BLOCK, TEXT_BLOCK, BLOCK_BYTES = 4096, 512, 64 << 20
+#: Least share of equal samples at which a pair is verified: 7.5 standard errors below the threshold.
+MAYBE = 0.5
+#: Copies of a text that a task signs once: keys that it remembers.
+REMEMBERED = 200_000
 
 
 def shingles(h: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -60,14 +69,24 @@ def shingles(h: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     return out[fresh], np.diff(np.append(fresh, len(out)))
 
 
-def weight_codes(terms: np.ndarray, tf: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Count and idf level of each shingle in one number."""
-    return tf * (LEVELS + 1) + levels[(terms >> np.uint64(64 - DF_BITS)).astype(np.intp)]
+class Idf:
+    """idf of shingles: the exact one of frequent shingles, and that of all others."""
 
+    def __init__(self, terms: np.ndarray, df: np.ndarray, n_docs: int) -> None:
+        order = np.argsort(terms)
+        share = df[order] / max(1, n_docs)
+        self.terms = terms[order]
+        self.values = (1 + np.log(1 / np.clip(share, FREQUENT, 1))).astype(np.float32)
+        self.rare = np.float32(1 + np.log(1 / FREQUENT))
 
-def weights(codes: np.ndarray) -> np.ndarray:
-    count, level = np.divmod(codes, LEVELS + 1)
-    return count * (1 + DAMP * level / LEVELS)
+    def weights(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        idf = np.full(len(terms), self.rare)
+        if len(self.terms) and len(terms):
+            at = np.searchsorted(self.terms, terms)
+            at[at == len(self.terms)] = 0
+            known = self.terms[at] == terms
+            idf[known] = self.values[at[known]]
+        return tf.astype(np.float32) * idf
 
 
 def word_key(text: str, h: np.ndarray) -> bytes:
@@ -75,6 +94,19 @@ def word_key(text: str, h: np.ndarray) -> bytes:
     return hashlib.md5(h.tobytes() if len(h) else b"\0" + text.encode("utf-8", "surrogatepass")).digest()
 
 
+def pack_body(terms: np.ndarray, weight: np.ndarray) -> bytes:
+    """32-bit names, sorted, and 32-bit weights."""
+    return (terms >> np.uint64(32)).astype("<u4").tobytes() + weight.astype("<f4").tobytes()
+
+
+@functools.lru_cache(maxsize=2 * TEXT_BLOCK)
+def _body(packed: bytes) -> tuple[np.ndarray, np.ndarray, float]:
+    """Names, weights and their sum."""
+    n = len(packed) // 8
+    w = np.frombuffer(packed, "<f4", n, 4 * n).astype(np.float64)
+    return np.frombuffer(packed, "<u4", n), w, float(w.sum())
+
+
 def weighted_jaccard(a: bytes, b: bytes) -> float:
     """Of two bodies."""
     (ta, wa, sa), (tb, wb, sb) = _body(a), _body(b)
@@ -87,48 +119,44 @@ def weighted_jaccard(a: bytes, b: bytes) -> float:
     return shared / (sa + sb - shared)
 
 
-@functools.lru_cache(maxsize=2 * 512)
-def _body(packed: bytes) -> tuple[np.ndarray, np.ndarray, float]:
-    """Names, weights and their sum."""
-    size = packed[-1]
-    n = len(packed) // (4 + size)
-    w = weights(np.frombuffer(packed, f"<u{size}", n, 4 * n).astype(np.int64))
-    return np.frombuffer(packed, "<u4", n), w, float(w.sum())
-
-
-def pack_body(terms: np.ndarray, codes: np.ndarray) -> bytes:
-    """32-bit names, weight codes of as many bytes as the greatest needs (2 or 8), and that number of bytes."""
-    size = 2 if not len(codes) or codes.max() < 1 << 16 else 8
-    return (terms >> np.uint64(32)).astype("<u4").tobytes() + codes.astype(f"<u{size}").tobytes() + bytes([size])
+def _digest(text: Column) -> Column:
+    """128 bits of a text; a row is its id and this."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("id", F.xxhash64("doc_id", "text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def keys_and_frequencies(source: DataFrame) -> DataFrame:
-    """A row (doc_id, id, key) for each text, and for each task its shingle frequencies in rows (chunk, counts)."""
+    """A row (doc_id, digest, row, key) for each text, and for each task its shingle frequencies in rows (chunk, counts). ``row`` numbers all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "id", "key", "chunk", "counts"]
+        names = ["doc_id", "digest", "row", "key", "chunk", "counts"]
         df = np.zeros(1 << DF_BITS, np.int64)
-        for doc, ids, texts in rows(batches):
+        row = TaskContext.get().partitionId() << 33
+        for doc, digests, texts in rows(batches):
             keys = []
             for text in texts:
                 h = word_hashes(text)
                 keys.append(word_key(text, h))
                 df[(shingles(h)[0] >> np.uint64(64 - DF_BITS)).view(np.int64)] += 1  # a text counts once a bucket
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+            n = len(doc)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.array(digests, pa.binary()), pa.array(np.arange(row, row + n)), pa.array(keys, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
+            )
+            row += n
         parts = [(k, df[k * CHUNK : (k + 1) * CHUNK]) for k in range(len(df) // CHUNK)]
         parts = [(k, zlib.compress(v.astype("<i4").tobytes(), 1)) for k, v in parts if v.any()]
         n = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([k for k, _ in parts], pa.int32()), pa.array([v for _, v in parts], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([k for k, _ in parts], pa.int32()), pa.array([v for _, v in parts], pa.binary())], names)
 
-    return map_arrow(source.select("doc_id", "id", "text"), run, "doc_id long, id long, key binary, chunk int, counts binary")
+    return map_arrow(source.select("doc_id", _digest(F.col("text")).alias("digest"), "text"), run, "doc_id long, digest binary, row long, key binary, chunk int, counts binary")
 
 
-def idf_levels(counted: DataFrame, n_docs: int) -> np.ndarray:
-    """round(LEVELS * ln(N/df)/ln N) by hashed bucket: 2**DF_BITS bytes, whatever the corpus."""
+def frequent_buckets(counted: DataFrame, n_docs: int) -> np.ndarray:
+    """The hashed buckets that at least FREQUENT of all documents reach: 2**DF_BITS flags, whatever the corpus."""
+    least = FREQUENT * n_docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -136,40 +164,84 @@ def idf_levels(counted: DataFrame, n_docs: int) -> np.ndarray:
             for k, v in zip(chunk, counts):
                 add = np.frombuffer(zlib.decompress(v), "<i4").astype(np.int64)
                 sums[k] = sums[k] + add if k in sums else add
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<f4").tobytes() for v in sums.values()], pa.binary())], ["chunk", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(v >= max(least, 1)).tobytes() for v in sums.values()], pa.binary())], ["chunk", "flags"])
 
-    df = np.zeros(1 << DF_BITS, np.float32)
+    hot = np.zeros(1 << DF_BITS, bool)
     parts = counted.where("chunk is not null").select("chunk", "counts").repartition(min(16, shuffle_partitions(counted.sparkSession)), "chunk")
-    for r in map_arrow(parts, run, "chunk int, df binary").toLocalIterator():
-        df[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.df, "<f4")
-    n = max(2, n_docs)
-    return np.rint(LEVELS * np.log(n / np.clip(df, 1, n)) / np.log(n)).astype(np.uint8)
+    for r in map_arrow(parts, run, "chunk int, flags binary").toLocalIterator():
+        hot[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.unpackbits(np.frombuffer(r.flags, np.uint8)).astype(bool)
+    return hot
 
 
-def signatures(source: DataFrame, levels: Broadcast) -> DataFrame:
-    """(id, bands array<long>, sig binary) of every text with words."""
+def frequencies(source: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(term, df): exact document frequencies of the shingles of the flagged buckets."""
+    flags = source.sparkSession.sparkContext.broadcast(np.packbits(hot).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, table = _sampler(), levels.value
-        seen: dict[int, tuple[list[int], bytes]] = {}  # copies are often near each other
-        for ids, texts in rows(batches):
-            found = [], [], []
-            for i, text in zip(ids, texts):
+        inside = np.unpackbits(np.frombuffer(flags.value, np.uint8)).astype(bool)
+        held: list[np.ndarray] = []
+        terms, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every, where = np.unique(np.concatenate([terms, *held]), return_inverse=True)
+            return every, np.bincount(where, np.concatenate([counts, np.ones(sum(map(len, held)))]), len(every)).astype(np.int64)
+
+        size = 0
+        for (texts,) in rows(batches):
+            for text in texts:
+                found = shingles(word_hashes(text))[0]
+                held.append(found[inside[(found >> np.uint64(64 - DF_BITS)).view(np.int64)]])
+                size += len(held[-1])
+            if size > 1_000_000:
+                terms, counts = merged()
+                held, size = [], 0
+                if len(terms) > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], ["term", "df"])
+                    terms, counts = terms[:0], counts[:0]
+        terms, counts = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], ["term", "df"])
+
+    return map_arrow(source.select("text"), run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def idf_table(source: DataFrame, counted: DataFrame, n_docs: int) -> Idf:
+    hot = frequent_buckets(counted, n_docs)
+    if not hot.any():
+        return Idf(np.zeros(0, np.uint64), np.zeros(0), n_docs)
+    found = frequencies(source, hot).where(F.col("df") >= FREQUENT * n_docs).toArrow()  # at most shingles a document / FREQUENT rows
+    return Idf(found.column("term").to_numpy().view(np.uint64), found.column("df").to_numpy(), n_docs)
+
+
+def signatures(source: DataFrame, idf: Broadcast) -> DataFrame:
+    """(key, bands array<long>, sig binary, body binary, size, total) of every text with words; copies that a task meets again are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler, table = _sampler(), idf.value
+        seen: set[bytes] = set()
+        for (texts,) in rows(batches, 64):
+            keys, bags = [], []
+            for text in texts:
                 h = word_hashes(text)
-                if not len(h):
+                if not len(h) or (key := word_key(text, h)) in seen:
                     continue
-                name = hash(h.tobytes())
-                if name not in seen:
-                    terms, tf = shingles(h)
-                    sig = sampler.signature(terms, np.log(weights(weight_codes(terms, tf, table))))
-                    if len(seen) > 2000:
-                        seen.clear()
-                    seen[name] = _bands(sig), sig.tobytes()
-                for col, v in zip(found, (i, *seen[name])):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.list_(pa.int64())), pa.array(found[2], pa.binary())], ["id", "bands", "sig"])
-
-    return map_arrow(source.select("id", "text"), run, "id long, bands array<long>, sig binary")
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(key)
+                terms, tf = shingles(h)
+                keys.append(key)
+                bags.append((terms, table.weights(terms, tf)))
+            sigs = sampler.signatures((t, np.log(w)) for t, w in bags)
+            cols = (
+                pa.array(keys, pa.binary()),
+                pa.array([_bands(s) for s in sigs], pa.list_(pa.int64())),
+                pa.array([s.tobytes() for s in sigs], pa.binary()),
+                pa.array([pack_body(t, w) for t, w in bags], pa.binary()),
+                pa.array([len(t) for t, _ in bags], pa.int64()),
+                pa.array([float(w.astype(np.float64).sum()) for _, w in bags], pa.float64()),
+            )
+            yield pa.RecordBatch.from_arrays(list(cols), ["key", "bands", "sig", "body", "size", "total"])
+
+    return map_arrow(source.select("text"), run, "key binary, bands array<long>, sig binary, body binary, size long, total double")
 
 
 @functools.cache
@@ -185,20 +257,6 @@ def _bands(sig: np.ndarray) -> list[int]:
     return h.view(np.int64).tolist()
 
 
-def bodies(source: DataFrame, levels: Broadcast) -> DataFrame:
-    """(id, body): 32-bit names of a text's distinct shingles, sorted, and codes of their whole weights."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows(batches):
-            out = []
-            for text in texts:
-                terms, tf = shingles(word_hashes(text))
-                out.append(pack_body(terms, weight_codes(terms, tf, levels.value)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "body"])
-
-    return map_arrow(source.select("id", "text"), run, "id long, body binary")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) of every node of ``edges`` (a, b): comp is the least id reached.
 
@@ -217,43 +275,87 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Members of buckets with several components, dealt into all pairs of blocks of about BLOCK members: (bucket, i, j, side, ...)."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    dealt = members.join(sizes.where("lo < hi").select("bucket", "blocks"), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "comp")
+def _blocks(members: DataFrame, texts: int, n_members: int) -> DataFrame:
+    """Members of buckets with several components, dealt into pairs of blocks: (bucket, i, j, side, id, comp).
 
+    Side 0 has the members outside the bucket's largest component, in blocks i; side 1 all members, in blocks j.
+    Blocks have ``texts`` members or BLOCK_BYTES of weights on average at most.
+    """
+    per = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    sizes = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "comp", "size")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    blocks = lambda n, size: F.ceil(F.greatest(n / texts, size * 8 / BLOCK_BYTES)).cast("int")
+    sizes = sizes.select("bucket", "n", F.col("top.comp").alias("main"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("left"), blocks(F.col("n"), F.col("size")).alias("right"))
+    joined = join_counted(members, materialize(sizes, "near-sizes"), "bucket", n_members)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    first = joined.where("comp != main").select("bucket", own(F.col("left")).alias("i"), every(F.col("right")).alias("j"), F.lit(0).alias("side"), "id", "comp")
+    second = joined.select("bucket", every(F.col("left")).alias("i"), own(F.col("right")).alias("j"), F.lit(1).alias("side"), "id", "comp")
+    return first.unionByName(second)
+
+
+def _pairs(key: tuple, left: list[tuple], right: list[tuple], threshold: float) -> Iterator[tuple[float, int, int]]:
+    """Agreement and places of the pairs of different components that may reach the threshold, in the first band that they share.
+
+    Rows are (id, comp, total, sig, ...). Sums of weights whose ratio is below the threshold rule a pair out.
+    """
+    sa, sb = (np.frombuffer(b"".join(g[3] for g in side), np.uint32).reshape(len(side), -1) for side in (left, right))
+    band = _bands(sa[0]).index(key[0])
+    id_b, comp_b, total_b = (np.array([g[k] for g in right]) for k in range(3))
+    outside = {g[1] for g in left}
+    both = np.array([c in outside for c in comp_b.tolist()])  # these are on both sides
+    for k, (ident, comp, total, *_) in enumerate(left):
+        ok = (comp_b != comp) & ~(both & (id_b < ident)) & (np.minimum(total_b, total) >= threshold * 0.9999 * np.maximum(total_b, total))
+        at = np.flatnonzero(ok)
+        if not len(at):
+            continue
+        equal = sa[k] == sb[at]
+        share = equal.mean(1)
+        maybe = np.flatnonzero(share >= MAYBE)
+        if len(maybe):
+            first = equal[maybe].reshape(len(maybe), BANDS, ROWS).all(2).argmax(1) == band
+            for m in maybe[first].tolist():
+                yield float(share[m]), k, int(at[m])
+
+
+def _grouped(dealt: DataFrame, fn, schema: str) -> DataFrame:  # noqa: ANN001
+    """``fn(key, left rows, right rows)`` yields pairs of longs, for each (bucket, i, j)."""
+    cols = [c for c in dealt.columns if c not in ("bucket", "i", "j", "side")]
+    spread = dealt.select("bucket", "i", "j", "side", *cols).repartition(shuffle_partitions(dealt.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides = None, ([], [])
 
-def cross_links(members: DataFrame, signed: DataFrame, body: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): verified links that join different components of a bucket.
+        def out() -> pa.RecordBatch:
+            found = list(fn(key, *sides)) if all(sides) else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names)
 
-    Within a pair of blocks, pairs that can reach the threshold by their samples go by falling agreement;
-    a pair whose ends are joined by then is not needed, any other is verified on the whole bodies. A pair
-    is taken up in the first band that it shares only.
-    """
-    dealt = _blocks(members).join(signed.select("id", "sig"), "id").join(body, "id")
-    dealt = dealt.select("bucket", "i", "j", "side", "id", "comp", "sig", "body").repartition(shuffle_partitions(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-
-    def links(key: tuple, group: list[tuple]) -> Iterator[tuple[int, int]]:
-        bucket, i, j = key
-        left = [g for g in group if g[0] == 0] if i != j else group
-        right = [g for g in group if g[0] == 1] if i != j else group
-        if not left or not right:
-            return
-        sa, sb = (np.frombuffer(b"".join(g[3] for g in side), np.uint32).reshape(len(side), -1) for side in (left, right))
-        band = _bands(sa[0]).index(bucket)
-        comp_b = np.array([g[2] for g in right])
-        found: list[tuple[float, int, int]] = []
-        for k, (_, _, comp, _, _) in enumerate(left):
-            equal = sa[k] == sb
-            share = equal.mean(1)
-            ok = (share >= MAYBE) & (comp_b != comp)
-            if i == j:
-                ok[: k + 1] = False
-            at = np.flatnonzero(ok)
-            if len(at):
-                first = equal[at].reshape(len(at), BANDS, ROWS).all(2).argmax(1) == band
-                found += [(float(share[m]), k, m) for m in at[first].tolist()]
+        for part in rows(batches, 256):
+            for row in zip(*part):
+                if row[:3] != key:
+                    if key is not None:
+                        yield out()
+                    key, sides = row[:3], ([], [])
+                sides[row[3]].append(row[4:])
+        if key is not None:
+            yield out()
+
+    return map_arrow(spread, run, schema)
+
+
+def cross_links(members: DataFrame, signed: DataFrame, threshold: float, n_members: int) -> DataFrame:
+    """(a, b): verified links that join different components of a bucket. ``members``: (bucket, id, comp, size)."""
+
+    def survivors(key: tuple, left: list[tuple], right: list[tuple]) -> Iterator[tuple[int, int]]:
+        kept = set()
+        for _, k, m in _pairs(key, left, right, threshold):
+            kept |= {left[k][0], right[m][0]}
+        return ((key[0], i) for i in sorted(kept))
+
+    dealt = _blocks(members, SIGNATURE_BLOCK, n_members).join(signed.select("id", "total", "sig"), "id")
+    left = materialize(_grouped(dealt.select("bucket", "i", "j", "side", "id", "comp", "total", "sig"), survivors, "bucket long, id long").distinct(), "near-survivors")
+
+    def links(key: tuple, left: list[tuple], right: list[tuple]) -> Iterator[tuple[int, int]]:
         joined: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -261,66 +363,60 @@ def cross_links(members: DataFrame, signed: DataFrame, body: DataFrame, threshol
                 joined[c] = c = joined.get(joined[c], joined[c])
             return c
 
-        for _, k, m in sorted(found, reverse=True):
-            p, q = root(left[k][2]), root(right[m][2])
+        for _, k, m in sorted(_pairs(key, left, right, threshold), reverse=True):
+            p, q = root(left[k][1]), root(right[m][1])
             if p != q and weighted_jaccard(left[k][4], right[m][4]) >= threshold:
                 joined[p] = q
-                yield left[k][1], right[m][1]
+                yield left[k][0], right[m][0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-        for cols in rows(batches):
-            found: list[tuple[int, int]] = []
-            for row in zip(*cols):
-                if row[:3] != key:
-                    if group:
-                        found += links(key, group)
-                    key, group = row[:3], []
-                group.append(row[3:])
-            yield out(found)
-        if group:
-            yield out(list(links(key, group)))
-
-    return map_arrow(dealt, run, "a long, b long")
+    again = materialize(members.join(left, ["bucket", "id"]), "near-candidates")
+    dealt = _blocks(again, TEXT_BLOCK, n_members).join(signed.select("id", "total", "sig", "body"), "id")
+    return _grouped(dealt.select("bucket", "i", "j", "side", "id", "comp", "total", "sig", "body"), links, "a long, b long")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, id, comp, class_id, class_size) for every row; id hashes doc_id and text, comp names the class, class_id is its smallest doc_id."""
+    """(doc_id, digest, comp, class_id, class_size, n_links, kept) for every row: comp names the class, class_id is its smallest doc_id, one row a class is kept."""
     spark = docs.sparkSession
     source = _source(docs, id_col, text_col)
     counted = materialize(keys_and_frequencies(source), "near-keys")
-    keyed = counted.where("chunk is null").select("doc_id", "id", "key")
-    levels = spark.sparkContext.broadcast(idf_levels(counted, keyed.count()))  # 1 MB by construction
-    firsts = materialize(keyed.groupBy("key").agg(F.min("id").alias("first")), "near-firsts")
-    signed = materialize(signatures(source, levels).join(firsts.select(F.col("first").alias("id")), "id").dropDuplicates(["id"]), "near-signatures")
-
-    banded = signed.select("id", F.explode("bands").alias("bucket"))
-    leaders = materialize(banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader"), "near-buckets")
-    shared = materialize(banded.join(leaders, "bucket"), "near-shared")
-    involved = shared.select("id").distinct()
-    body = materialize(bodies(source.join(involved, "id").dropDuplicates(["id"]), levels), "near-bodies")
+    keyed = counted.where("chunk is null").select("doc_id", "digest", "row", "key")
+    n_docs = keyed.count()
+    idf = spark.sparkContext.broadcast(idf_table(source, counted, n_docs))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    firsts = materialize(keyed.groupBy("key").agg(F.min("row").alias("id"), least.alias("least"), F.count(F.lit(1)).alias("n")), "near-firsts")
+    ids = firsts.select("key", "id")
+    made = materialize(signatures(source, idf), "near-made")
+
+    banded = materialize(made.select("key", "bands", "size").join(ids, "key").select("id", "size", F.explode("bands").alias("bucket")).dropDuplicates(["id", "bucket"]), "near-bands")
+    leaders = materialize(banded.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
+    n_banded = n_docs * BANDS
+    shared = materialize(join_counted(banded, leaders, "bucket", n_banded).select("bucket", "id", "size", "leader"), "near-shared")
+    involved = shared.select("id").distinct().join(ids, "id")
+    signed = materialize(made.drop("bands", "size").join(involved, "key").drop("key").dropDuplicates(["id"]), "near-signed")
 
     first_links = shared.where("id != leader").groupBy("id").agg(F.min("leader").alias("hub"))
-    verified = materialize(compare_to_hubs(first_links, body, weighted_jaccard, "binary").where(F.col("likeness") >= threshold).select(F.col("id").alias("a"), F.col("hub").alias("b")), "near-links")
+    likened = compare_to_hubs(first_links, signed.select("id", "body"), weighted_jaccard)
+    verified = materialize(likened.where(F.col("likeness") >= threshold).select(F.col("id").alias("a"), F.col("hub").alias("b")), "near-links")
     comps = components(verified)
-    members = materialize(shared.select("bucket", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "near-members")
-    crossed = cross_links(members, signed, body, threshold)
-    comps = components(materialize(verified.unionByName(crossed), "near-all-links"))
+    members = materialize(shared.select("bucket", "id", "size").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "near-members")
+    crossed = cross_links(members, signed, threshold, n_banded)
+    edges = materialize(verified.unionByName(crossed).distinct(), "near-all-links")
+    comps = components(edges)
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
 
-    classed = keyed.join(firsts, "key").join(comps.withColumnRenamed("id", "first"), "first", "left").select("doc_id", "id", F.coalesce("comp", "first").alias("comp"))
-    classed = materialize(classed, "near-classed")
-    named = materialize(classed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-classes")
-    return classed.join(named, "comp").select("doc_id", "id", "comp", "class_id", "class_size")
+    named = firsts.join(comps, "id", "left").join(ends, "id", "left").select("key", F.coalesce("comp", "id").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "least", "n")
+    named = materialize(named, "near-classed")
+    classes = named.groupBy("comp").agg(F.min("least").alias("first"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n"))
+    n_texts = firsts.count()
+    found = join_counted(named.select("key", "comp", "n_links", F.col("n").alias("copies")), materialize(classes, "near-classes"), "comp", n_texts)
+    found = materialize(found.select("key", "comp", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("first_row"), "class_size", "n_links", F.col("copies").alias("n")), "near-result")
+    return join_counted(keyed, found, "key", n_docs).select("doc_id", "digest", "comp", "class_id", "class_size", "n_links", (F.col("row") == F.col("first_row")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, the smallest doc_id's, with all its columns."""
-    classes = materialize(classify(docs, id_col, text_col), "near-result")
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("comp").agg(F.min("id").alias("__row_key")).select("__row_key")
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    once = F.row_number().over(Window.partitionBy("__row_key").orderBy(F.lit(1)))
-    return keyed.join(stay, "__row_key", "left_semi").withColumn("__once", once).where("__once = 1").select(*docs.columns)
+    stay = materialize(classify(docs, id_col, text_col).where("kept").select("doc_id", "digest"), "near-kept")
+    a, b = unused(docs, "__id"), unused(docs, "__digest")
+    keyed = docs.withColumn(a, F.col(id_col).cast("long")).withColumn(b, _digest(F.col(text_col)))
+    left = keyed.join(stay, F.col(a).eqNullSafe(stay["doc_id"]) & (F.col(b) == stay["digest"]), "left_semi")
+    return first_of_each(left, F.col(a), F.col(b)).select(*docs.columns)

@@ -55,7 +55,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_dedup.classify(_read(spark, sf_dir, "documents"))
-    return classes.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return classes.select("doc_id", "class_id", "class_size", "n_links", "kept")
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

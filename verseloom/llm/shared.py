@@ -3,29 +3,27 @@
 from __future__ import annotations
 
 import atexit
-import io
-import pathlib
 import re
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
+from verseloom.runtime import send_code
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests on one machine) a temporary one is made and set.
+    Only a local master that names none (tests on one machine) gets a temporary one; a cluster must name it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="verseloom-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         path = "file://" + folder
@@ -44,24 +42,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that workers can import it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = pathlib.Path(__file__).resolve().parents[1]
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    path = pathlib.Path(tempfile.mkdtemp(prefix="verseloom-code-")) / f"{root.name}.zip"
-    path.write_bytes(data.getvalue())
-    sc.addPyFile(str(path))
-    _SHIPPED.add(sc.applicationId)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    ship(df.sparkSession)
+    send_code(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
@@ -82,16 +64,46 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def first_of_each(df: DataFrame, *keys: Column) -> DataFrame:
+    """One row for each value of ``keys``; the rows of a value are interchangeable."""
+    once = unused(df, "__once")
+    return df.withColumn(once, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))).where(F.col(once) == 1).drop(once)
+
+
+#: A key with more than this part of all rows is hot; there are at most as many hot keys.
+HOT = 2_000
+
+
+def join_counted(rows_: DataFrame, counted: DataFrame, on: str, total: int, how: str = "inner") -> DataFrame:
+    """Joins rows to ``counted``: a row a key, whose ``n`` is at least the key's number of rows.
+
+    The hot keys, fewer than HOT by their definition, are broadcast, so their rows stay where they are; by the
+    shuffle each key moves a small part of the rows only. ``n`` sums to ``total`` at most (its callers see to it).
+    """
+    is_hot = F.col("n") * HOT > F.lit(total)
+    hot = F.broadcast(counted.where(is_hot))
+    cold = rows_.join(F.broadcast(counted.where(is_hot).select(on)), on, "left_anti")
+    return rows_.join(hot, on).unionByName(cold.join(counted.where(~is_hot), on, how))
+
+
 HUB_ROWS = 256
 
 
-def compare_to_hubs(links: DataFrame, payload: DataFrame, same: Callable[[object, object], float], kind: str) -> DataFrame:
+def compare_to_hubs(links: DataFrame, payload: DataFrame, same: Callable[[object, object], float]) -> DataFrame:
     """Applies ``same(hub payload, member payload)`` to every link and returns (id, hub, likeness).
 
     ``links`` (id, hub) are narrow and distinct; ``payload`` (id, body) holds the large values, equal ones for equal ids.
     A hub with many members is dealt over ceil(members / HUB_ROWS) salted groups, each of which gets
     one copy of the hub's payload: no task gets more of a hub's members than fit, and the copies grow
-    with the links, not with their square. ``kind`` is the payload's SQL type.
+    with the links, not with their square.
     """
     spark = links.sparkSession
     counts = links.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).select("hub", F.ceil(F.col("n") / HUB_ROWS).cast("long").alias("salts"))
@@ -105,17 +117,21 @@ def compare_to_hubs(links: DataFrame, payload: DataFrame, same: Callable[[object
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub_key, hub_body = None, None
-        for hub, salt, role, ident, body in rows(batches, 128):
-            out: tuple[list, list, list] = ([], [], [])
-            for h, s, r, i, b in zip(hub, salt, role, ident, body):
-                if r == 0:
-                    hub_key, hub_body = (h, s), b
-                elif (h, s) == hub_key:
-                    for col, v in zip(out, (i, h, float(same(hub_body, b)))):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["id", "hub", "likeness"])
-
-    return map_arrow(dealt, run, "id long, hub long, likeness double")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                hub, salt, role, body = (part.column(c).to_pylist() for c in ("hub", "salt", "role", "body"))
+                at, likeness = [], []
+                for k, (h, s, r, b) in enumerate(zip(hub, salt, role, body)):
+                    if r == 0:
+                        hub_key, hub_body = (h, s), b
+                    elif (h, s) == hub_key:
+                        at.append(k)
+                        likeness.append(float(same(hub_body, b)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at, pa.int64())) for c in ("id", "hub")), pa.array(likeness, pa.float64())], ["id", "hub", "likeness"])
+
+    kinds = dict(links.dtypes)
+    return map_arrow(dealt, run, f"id {kinds['id']}, hub {kinds['hub']}, likeness double")
 
 
 def words_of(text: str) -> list[str]:
