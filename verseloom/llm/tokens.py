@@ -35,10 +35,21 @@ from verseloom.llm.shared import map_arrow, rows
 #: The byte-level tokenizer's word pattern. Fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("start", "end", "most")
+#: Half of the least run of white space or of other characters that the library's backtracking pattern is spared.
+HALF_RUN = 5_000
+
+
+def _has_long_run(text: str) -> bool:
+    """Whether an aligned window of HALF_RUN characters is all white space, or one word: every run of twice that fills one."""
+    return any((part := text[k : k + HALF_RUN]).isspace() or len(part.split(None, 1)) == 1 for k in range(0, len(text) - HALF_RUN + 1, HALF_RUN))
 
 
 class Encoder:
-    """Ids of a vocabulary file by a library encoder; a special token's string gives its id."""
+    """Ids of a vocabulary file by a library encoder; a special token's string gives its id.
+
+    The library's pattern runs out of stack on a million blanks, so texts with long runs go through
+    the encoder of ``bpe``, which gives the same ids.
+    """
 
     def __init__(self, path: str) -> None:
         self.bpe: Bpe = load(path)
@@ -47,6 +58,8 @@ class Encoder:
         self.library = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
+        if _has_long_run(text):
+            return self.bpe.merge(self.bpe.words(text))[0]
         if self.bpe.split is None or not self.bpe.split.search(text):
             return self.library.encode_to_numpy(text).astype(np.int32)
         parts = self.bpe.split.split(text)
