@@ -1,17 +1,25 @@
 """Best-fit packing by a configuration linear program (operator 6).
 
 Documents become pieces of at most SIZE tokens; only longer ones are cut, and the first piece may be
-shorter. The histogram of piece lengths (SIZE numbers, whatever the corpus) is the program's demand.
-The fractional program min sum x_c, sum_c count_c(l) x_c = n_l is solved by multiplicative weights:
-lengths have prices, a knapsack by dynamic programming finds the most valuable configuration, and the
-prices of lengths that it serves fall against the others'. Uses are rounded down; what rounding leaves
-is a smaller program of the same kind, and the last few pieces are packed by best fit, longest first.
+shorter. The histogram of piece lengths (SIZE numbers, whatever the corpus) is the program's demand:
+min sum x_c, sum_c count_c(l) x_c >= n_l over configurations c, multisets of lengths that fit a sequence.
+
+``dual`` solves its dual by multiplicative weights: each length has a weight, a knapsack by dynamic
+programming prices out the best configuration, and the weights of the lengths that it serves fall by how
+much of their demand it serves. Any weights, divided by the value of the best configuration, are feasible,
+so each step proves a lower bound. It works on lengths rounded down to a grid, which keeps the bound valid.
+``filled`` rounds: a bounded knapsack on these prices, which fall on as demand is served, picks
+configurations, each used a whole number of times, and best fit takes what is left. Where that needs more
+sequences than best fit of all pieces does, or best fit is within GAP of the bound, best fit's plan stands.
+So a plan never has more sequences than best fit's. The solver runs in one task; its size is that of the
+histogram, not of the corpus.
 
 Pieces take their places by rank: each task counts its pieces of every length, prefix sums give the
 first rank, and the plan maps (length, rank) to (sequence, offset). No task sees all pieces of a length.
 
-Null texts count as empty: one piece with the end id only. Repeated rows are packed each. An empty
-table gives an empty result. Only the two columns named are read, so extra columns don't clash.
+Null texts count as empty: one piece with the end id only. Repeated rows are packed each. Texts may have
+any length and any runs of blanks. An empty table gives an empty result. Only the two columns named are
+read, so extra columns don't clash.
 """
 
 from __future__ import annotations
@@ -30,94 +38,104 @@ from verseloom.llm.shared import map_arrow, materialize, rows
 from verseloom.llm.tokens import encoder
 
 SIZE, END_ID = 1024, 2
-#: Pricing steps of the program at most, how far prices fall, part of a step, power of the first prices.
-ROUNDS, RATE, PART, LEAN = 2_500, 0.05, 0.6, 1.03
-
-
-def knapsack(prices: np.ndarray, lengths: np.ndarray, most: np.ndarray, size: int) -> list[int]:
-    """Most valuable multiset of lengths in ``size``: places in ``lengths``. Lengths are distinct; a place is used ``most`` times at most."""
-    value = np.zeros(size + 1)
-    took = np.full(size + 1, -1, np.int64)
-    worth = np.full(size + 1, -np.inf)
-    place = np.full(size + 1, -1, np.int64)
-    worth[lengths], place[lengths] = prices, np.arange(len(lengths))
-    back = np.zeros(size + 1)  # value, from the end, so that both operands run forward
-    for room in range(int(lengths.min()), size + 1):
-        gain = worth[1 : room + 1] + back[size - room + 1 :]
-        k = gain.argmax()
-        if gain[k] > value[room - 1]:
-            value[room], took[room] = gain[k], k + 1
-        else:
-            value[room] = value[room - 1]
-        back[size - room] = value[room]
-    chosen, used, room = [], Counter(), size
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-            continue
-        p = int(place[took[room]])
-        if used[p] < most[p]:
-            chosen.append(p)
-            used[p] += 1
-            room -= int(took[room])
-        else:
-            room -= 1
-    return chosen
-
-
-def solve(histogram: dict[int, int], size: int = SIZE, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations (lengths, longest first) and how often each is used: exactly the histogram's pieces."""
-    left = {n: c for n, c in histogram.items() if c > 0}
-    plan: Counter[tuple[int, ...]] = Counter()
-    whole = left.pop(size, 0)
-    if whole:
-        plan[(size,)] = whole
-    for _ in range(6):  # what rounding leaves is a smaller program of the same kind
-        if sum(left.values()) <= 3 * len(left):
-            break
-        lengths = np.array(sorted(left), np.int64)
-        demand = np.array([left[n] for n in lengths.tolist()], np.int64)
-        use = _fractional(lengths, demand, size, rounds, rate)
-        done = 0
-        for config, share in sorted(use.items(), key=lambda x: (-x[1], x[0])):
-            counts = Counter(config)
-            times = min(int(share), *(left[n] // k for n, k in counts.items()))
-            if times > 0:
-                plan[config] += times
-                done += times
-                for n, k in counts.items():
-                    left[n] -= k * times
-        left = {n: c for n, c in left.items() if c > 0}
-        if not done:
-            break
-    for config, times in _best_fit(left, size).items():
-        plan[config] += times
-    return sorted(plan.items(), key=lambda x: (tuple(-n for n in x[0]), x[1]))
-
-
-def _fractional(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int, rate: float) -> Counter:
-    """Configurations with their fractional uses, which serve the demand as far as ``rounds`` reach.
-
-    A price starts at a power of its length just above 1, so that full sequences with long pieces win,
-    and falls by the served share of its demand. Each step goes a part of the way to the point where the
-    first of the configuration's lengths would be served.
-    """
-    use: Counter[tuple[int, ...]] = Counter()
-    left = demand.astype(np.float64)
-    base = LEAN * np.log(lengths / size)
-    for _ in range(rounds):
-        open_ = np.flatnonzero(left > 0.5 / rounds)
-        if not len(open_):
-            break
-        price = np.exp(base[open_] - rate * (1 - left[open_] / demand[open_]))
-        chosen = open_[knapsack(price, lengths[open_], np.ceil(left[open_]), size)]
+#: Grid of lengths and steps of the dual, and how far a step lowers the weight of the length that it serves most.
+GRID, DUAL_STEPS, DUAL_RATE = 8, 2_000, 0.05
+#: Steps of the rounding, part of the possible uses that a step takes, how far a price falls until its demand is served.
+STEPS, PART, RATE = 600, 0.5, 0.3
+#: Best fit's plan is not improved on when it is this near to the bound.
+GAP = 1 / 5_000
+
+
+class Knapsack:
+    """Most valuable multiset of lengths in ``size``, where length k is used ``most[k]`` times at most: exact, by binary parts."""
+
+    def __init__(self, lengths: np.ndarray, most: np.ndarray, size: int) -> None:
+        self.size, self.parts = size, []
+        for p, (n, left) in enumerate(zip(lengths.tolist(), most.tolist())):
+            left, times = min(left, size // n), 1
+            while left > 0:
+                times = min(times, left)
+                self.parts.append((p, times, times * n))
+                left, times = left - times, 2 * times
+        self.taken = np.zeros((len(self.parts), size + 1), bool)
+
+    def best(self, prices: np.ndarray) -> tuple[float, list[int]]:
+        """Value and places in ``lengths``."""
+        value, gain, price = np.zeros(self.size + 1), np.empty(self.size + 1), prices.tolist()
+        for (p, times, width), taken in zip(self.parts, self.taken):
+            more = gain[: self.size + 1 - width]
+            np.add(value[: self.size + 1 - width], times * price[p], out=more)
+            np.greater(more, value[width:], out=taken[width:])
+            np.maximum(value[width:], more, out=value[width:])
+        chosen, room = [], self.size
+        for (p, times, width), taken in zip(reversed(self.parts), reversed(self.taken)):
+            if room >= width and taken[room]:
+                chosen += [p] * times
+                room -= width
+        return float(value[self.size]), chosen
+
+
+def dual(histogram: dict[int, int], size: int = SIZE, grid: int = GRID, steps: int = DUAL_STEPS) -> tuple[float, np.ndarray]:
+    """A lower bound of the number of sequences, and the price of every length up to ``size`` that proves it."""
+    demand = np.zeros(size + 1, np.int64)
+    demand[list(histogram)] = list(histogram.values())
+    plain = np.arange(size + 1) / size
+    if not demand.any():
+        return 0.0, plain
+    bound, price = float(demand @ plain), plain
+    coarse = np.arange(size + 1) // grid
+    need = np.bincount(coarse, demand)
+    at = np.flatnonzero(need[1:]) + 1  # lengths below the grid have no price
+    if not len(at):
+        return bound, price
+    sack = Knapsack(at, np.full(len(at), size), size // grid)
+    weight = np.ones(len(at))
+    for _ in range(steps):
+        value, chosen = sack.best(weight / need[at])
+        if weight.sum() / value > bound:
+            bound = weight.sum() / value
+            price = np.zeros(size // grid + 1)
+            price[at] = weight / need[at] / value
+            price = np.maximum.accumulate(price)[coarse]
+        served = np.bincount(chosen, minlength=len(at)) / need[at]
+        weight *= np.exp(-DUAL_RATE * served / served.max())
+        weight /= weight.max()
+    return bound, price
+
+
+def filled(histogram: dict[int, int], price: np.ndarray, size: int = SIZE) -> Counter:
+    """Configurations with whole uses, by knapsacks on prices that fall as demand is served; best fit for the rest."""
+    lengths = np.array(sorted(histogram), np.int64)
+    demand = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    left, use = demand.copy(), Counter()
+    base = 0.5 * price[lengths] + 0.5 * lengths / size
+    sack, open_ = None, np.zeros(0, np.int64)
+    for _ in range(STEPS):
+        if sack is None:
+            open_ = np.flatnonzero(left)
+            if not len(open_):
+                break
+            sack = Knapsack(lengths[open_], left[open_], size)
+        chosen = open_[sack.best(base[open_] * np.exp(-RATE * (1 - left[open_] / demand[open_])))[1]]
         counts = np.bincount(chosen, minlength=len(lengths))
         hit = np.flatnonzero(counts)
-        part = float((left[hit] / counts[hit]).min())
-        part = part if part < 1 else max(1.0, PART * part)
-        use[tuple(sorted((int(lengths[p]) for p in chosen), reverse=True))] += part
-        left[hit] -= counts[hit] * part
-    return use
+        times = max(1, int(PART * int((left[hit] // counts[hit]).min())))
+        use[tuple(sorted(lengths[chosen].tolist(), reverse=True))] += times
+        left[hit] -= counts[hit] * times
+        if (left[hit] < np.minimum(demand[hit], size // lengths[hit])).any():  # so few are left that the knapsack must know
+            sack = None
+    rest = {n: c for n, c in zip(lengths.tolist(), left.tolist()) if c}
+    return use + _best_fit(rest, size)
+
+
+def solve(histogram: dict[int, int], size: int = SIZE) -> tuple[list[tuple[tuple[int, ...], int]], float]:
+    """Configurations (lengths, longest first) and how often each is used, exactly the histogram's pieces; and the lower bound."""
+    wanted = {n: c for n, c in histogram.items() if c > 0}
+    bound, price = dual(wanted, size)
+    plan = _best_fit(wanted, size)
+    if sum(plan.values()) > np.ceil(bound - 1e-6) * (1 + GAP):
+        plan = min(plan, filled(wanted, price, size), key=lambda p: sum(p.values()))
+    return sorted(plan.items(), key=lambda x: (tuple(-n for n in x[0]), x[1])), bound
 
 
 def _best_fit(left: dict[int, int], size: int) -> Counter:
@@ -164,6 +182,20 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(v, np.int64) for n, v in out.items()}
 
 
+def planned(histogram: DataFrame, size: int = SIZE) -> dict[int, np.ndarray]:
+    """``places`` of the plan for (length, n), solved in a task. The histogram has ``size`` rows at most, the plan few a length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: Counter[int] = Counter()
+        for lengths, counts in rows(batches):
+            wanted.update(dict(zip(lengths, counts)))
+        table = places(solve(wanted, size)[0])
+        yield pa.RecordBatch.from_arrays([pa.array(list(table), pa.int64()), pa.array([v.ravel().tolist() for v in table.values()], pa.list_(pa.int64()))], ["length", "runs"])
+
+    found = map_arrow(histogram.select("length", "n").coalesce(1), run, "length long, runs array<long>").collect()
+    return {r.length: np.array(r.runs, np.int64).reshape(-1, 4) for r in found}
+
+
 def pieces(df: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, rank): rank counts the pieces of a length in their task ``part``."""
 
@@ -191,8 +223,7 @@ def pack(df: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID, id_co
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece."""
     cut = materialize(pieces(df, path, size, end_id, id_col, text_col), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # ``size`` rows at most
-    table = places(solve(histogram, size))
+    table = planned(counts.groupBy("length").agg(F.sum("n").alias("n")), size)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "length", "first")
     ranked = cut.join(first, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank")).alias("rank"))
