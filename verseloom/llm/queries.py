@@ -50,7 +50,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.decide(_read(spark, sf_dir, "documents")).drop("row_key")
+    return exact_dedup.decide(_read(spark, sf_dir, "documents")).drop("mark")
 
 
 def op8_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
