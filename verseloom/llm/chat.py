@@ -1,24 +1,28 @@
 r"""Chat formatting with schema fingerprints (operator 10).
 
-A record's layout is the sorted list of its nested field paths; the hash of those paths that layouts
-know selects a declarative mapping, which turns prompt, instruction and message records, or a table
+A record's schema is the set of its nested field paths. A layout is a declarative mapping with the paths
+that it needs; the hash of the record's paths among these is compared with the layout's own, so fields that
+the layout doesn't need never count, whatever their names. Of the layouts that fit, the one with the most
+paths is taken, of equals the first listed. It turns prompt, instruction and message records, or a table
 with one row a turn, into canonical turns (conversation, turn, role, text). The template writes each
 turn as ``<|im_start|>role\ntext<|im_end|>\n`` and escapes control strings inside a text by one
 backslash after their first character (more where the text has some there already), so that
 unescaping gives the text back. Each piece carries the span of its loss mask: assistant texts only.
 
 Null texts and roles count as empty, null turns sort first, ties of a turn go by the formatted piece,
-rows with a null conversation make one conversation, an empty table gives an empty result. Fields that
-no layout knows don't count in a fingerprint, so extra columns don't clash. A record of no known
-layout becomes one row with null role and text and the layout ``unknown:<fingerprint>``.
+rows with a null conversation make one conversation, an empty table gives an empty result. A value that
+is no string counts as its JSON form, a list of parts as its parts' texts in order, a message that is no
+object as a text without a role; an empty system text before messages is left out. A record of no known layout becomes one row with null role and text and
+the layout ``unknown:<fingerprint of all its paths>``.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -39,7 +43,7 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 @dataclass(frozen=True)
 class Layout:
-    """``turns``: (role, paths joined by a blank line) for flat records; ``each``: list, role and text fields; ``rowwise``: columns of a table of turns."""
+    """``turns``: (role, paths joined by a blank line) for flat records; ``each``: list, role and text fields, after the ``turns`` that aren't empty; ``rowwise``: columns of a table of turns."""
 
     name: str
     paths: tuple[str, ...]
@@ -53,64 +57,86 @@ LAYOUTS = (
     Layout("message_rows", ("conversation_id", "position", "role", "content"), rowwise=("conversation_id", "position", "role", "content")),
     Layout("messages", ("messages[].role", "messages[].content"), each=("messages", "role", "content")),
     Layout("speakers", ("conversations[].from", "conversations[].value"), each=("conversations", "from", "value")),
+    Layout("system_messages", ("system", "messages[].role", "messages[].content"), turns=(("system", ("system",)),), each=("messages", "role", "content")),
+    Layout("system_speakers", ("system", "conversations[].from", "conversations[].value"), turns=(("system", ("system",)),), each=("conversations", "from", "value")),
     Layout("completion", ("prompt", "completion"), turns=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("response", ("prompt", "response"), turns=(("user", ("prompt",)), ("assistant", ("response",)))),
     Layout("instruction", ("instruction", "output"), turns=(("user", ("instruction",)), ("assistant", ("output",)))),
     Layout("instruction_input", ("instruction", "input", "output"), turns=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Layout("system_prompt", ("system", "prompt", "response"), turns=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
 )
-_KNOWN = frozenset(p for layout in LAYOUTS for p in layout.paths)
 
 
-def fingerprint(paths: object) -> str:
-    return hashlib.sha256("\n".join(sorted(set(paths) & _KNOWN)).encode()).hexdigest()[:16]
+def fingerprint(paths: Iterable[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-REGISTRY = {fingerprint(layout.paths): layout for layout in LAYOUTS}
+#: Layouts by the fingerprint of their paths, those of most paths first.
+REGISTRY = {fingerprint(layout.paths): layout for layout in sorted(LAYOUTS, key=lambda x: -len(x.paths))}
+
+
+@functools.lru_cache(maxsize=4096)
+def layout_of(paths: frozenset[str], rowwise: bool) -> Layout | None:
+    """The layout whose fingerprint the paths have among its own."""
+    return next((x for key, x in REGISTRY.items() if bool(x.rowwise) == rowwise and fingerprint(paths & set(x.paths)) == key), None)
 
 
 def value_paths(value: object, at: str = "") -> Iterator[str]:
-    """Nested field paths of a parsed record; a list adds ``[]``."""
+    """Nested field paths of a parsed record, also those that hold others; a list adds ``[]``."""
+    if at:
+        yield at
     if isinstance(value, dict):
         for k, v in value.items():
             yield from value_paths(v, f"{at}.{k}" if at else str(k))
     elif isinstance(value, list):
         for v in value:
             yield from value_paths(v, f"{at}[]")
-    else:
-        yield at
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> Iterator[str]:
     """The same paths from a schema."""
+    if at:
+        yield at
     if isinstance(kind, T.StructType):
         for f in kind.fields:
             yield from schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)
     elif isinstance(kind, T.ArrayType):
         yield from schema_paths(kind.elementType, f"{at}[]")
-    else:
-        yield at
 
 
 def turns_from_table(df: DataFrame) -> DataFrame:
     """Canonical turns of a typed table, by the fingerprint of its schema."""
-    layout = REGISTRY.get(fingerprint(schema_paths(df.schema)))
-    if layout is None or layout.rowwise is None:
+    layout = layout_of(frozenset(schema_paths(df.schema)), rowwise=True)
+    if layout is None:
         raise ValueError(f"no layout of turns has the paths {sorted(schema_paths(df.schema))}")
     conv, turn, role, text = (F.col(f"`{c}`") for c in layout.rowwise)
     return df.select(conv.cast("long").alias("conv_id"), turn.cast("long").alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"), F.lit(layout.name).alias("layout"))
 
 
+def said(value: object) -> str:
+    """The text of a value: strings as they are, nulls empty, parts in order, anything else as JSON."""
+    if value is None:
+        return ""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-8", "replace").decode()
+    if isinstance(value, list) and all(isinstance(x, str) or isinstance(x, dict) and isinstance(x.get("text"), str) for x in value):
+        return "".join(said(x if isinstance(x, str) else x["text"]) for x in value)
+    return json.dumps(value)
+
+
 def record_turns(record: object) -> tuple[str, list[tuple[str | None, str | None]]]:
     """Layout and (role, text) turns of one parsed record."""
-    key = fingerprint(value_paths(record))
-    layout = REGISTRY.get(key)
-    if layout is None or layout.rowwise:
-        return f"unknown:{key}", [(None, None)]
+    have = frozenset(value_paths(record))
+    layout = layout_of(have, rowwise=False) if isinstance(record, dict) else None
+    if layout is None or layout.each and not isinstance(record.get(layout.each[0]), list):
+        return f"unknown:{fingerprint(have)}", [(None, None)]
+    turns = [(role, "\n\n".join(v for p in paths if (v := said(record.get(p))))) for role, paths in layout.turns]
     if layout.each:
+        turns = [t for t in turns if t[1]]
         items, role, text = layout.each
-        return layout.name, [(ROLES.get(x.get(role) or "", x.get(role) or ""), x.get(text) or "") for x in record[items]]
-    return layout.name, [(role, "\n\n".join(v for p in paths if (v := record.get(p)))) for role, paths in layout.turns]
+        for x in record[items]:
+            turns.append((ROLES.get(r := said(x.get(role)), r), said(x.get(text))) if isinstance(x, dict) else ("", said(x)))
+    return layout.name, turns
 
 
 def turns_from_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
@@ -121,10 +147,9 @@ def turns_from_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
             out: list[tuple] = []
             for i, text in zip(ids, texts):
                 try:
-                    record = json.loads(text or "null")
-                except ValueError:
-                    record = None
-                name, turns = record_turns(record)
+                    name, turns = record_turns(json.loads(text or "null"))
+                except (ValueError, RecursionError):  # no JSON, or nested beyond measure
+                    name, turns = record_turns(None)
                 out += [(i, k, role, said, name) for k, (role, said) in enumerate(turns)]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["conv_id", "turn", "role", "text", "layout"])

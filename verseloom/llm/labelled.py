@@ -12,13 +12,15 @@ from verseloom.llm.shared import crc_mod, materialize
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, most: int) -> DataFrame:
     """(text, label) of at most ``most`` labelled rows outside the held-out fold, taken in the order of a hash of the id.
 
-    The ids of the sample are broadcast: their number is bounded by ``most``. Of equal texts one is used.
+    The ids of the sample are broadcast: their number is bounded by ``most``. Equal texts are one row, with the
+    label of most of theirs (1 where they tie), so the sample is the same each time.
     """
     chosen = labels.where((crc_mod("doc_id", folds) != fold) & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "label", F.xxhash64("text").alias("key")), f"train-{label}")
-    return sample.repartition(8, "key").dropDuplicates(["key"]).select("text", "label")
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "label", F.md5("text").alias("key"))
+    one = sample.groupBy("key").agg(F.first("text").alias("text"), (F.avg("label") >= 0.5).cast("int").alias("label"))
+    return materialize(one.select("text", "label"), f"train-{label}").repartition(8, F.xxhash64("text"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> np.ndarray:

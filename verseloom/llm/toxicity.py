@@ -1,9 +1,10 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick (operator 7).
 
 Texts are folded first: case, compatibility forms and accents, homoglyphs of other scripts, digits and
-signs written for letters, and i and l (which share the digit 1). The lexicon has whole words and word
-beginnings with weights learnt from labelled rows: the log ratio of their rates in toxic and in other
-texts. At each word the longest entry counts; hits inside an exception phrase (given, or learnt as a
+signs written for letters, and i and l (which share the digit 1). The lexicon has whole words of any
+length and word beginnings of STEMS letters (a longer word has these too) with weights learnt from
+labelled rows: the log ratio of their rates in toxic and in other texts. Every term and every exception
+that passes the test of evidence is in it; only the labelled rows are bounded. At each word the longest entry counts; hits inside an exception phrase (given, or learnt as a
 context that only clean texts have) don't. The sum, alone and normalised by the text's length, goes
 through a logistic function.
 
@@ -34,10 +35,12 @@ from pyspark.sql import types as T
 from verseloom.llm.labelled import logistic, training_texts
 from verseloom.llm.shared import map_arrow, rows
 
-#: Labelled rows to train on, entries of the lexicon, and learnt exceptions at most.
-SAMPLE, ENTRIES, EXCEPTIONS = 12_000, 4_000, 1_000
+#: Labelled rows to train on at most; letters of the shortest and longest beginnings.
+SAMPLE, STEMS = 12_000, (4, 9)
 #: Root of the likelihood ratio statistic that a term must pass: many terms are tried.
 LEAST_Z = 4.2
+#: Toxic texts that a term needs, its least log ratio, and clean texts that an exception needs.
+TEXTS, LEAST_RATIO, CLEAN = 3, 1.2, 4
 HELD_FOLDS, HELD_FOLD = 4, 2
 THRESHOLD = 0.3
 #: Letters of other scripts that look like Latin ones, and the Latin ones. Fixed values.
@@ -121,7 +124,7 @@ def loads(text: str) -> Lexicon:
 
 
 def _parts(word: str) -> list[str]:
-    return [f" {word} ", *(f" {word[:k]}" for k in range(4, min(len(word), 9) + (len(word) < 9)))]
+    return [f" {word} ", *(f" {word[:k]}" for k in range(STEMS[0], min(STEMS[1] + 1, len(word))))]
 
 
 def count_terms(sample: DataFrame) -> DataFrame:
@@ -141,8 +144,7 @@ def count_terms(sample: DataFrame) -> DataFrame:
             for text, label in zip(texts, labels):
                 here: Counter[str] = Counter()
                 for w in set(fold(text).split()):  # each word once a text, so repeated lines weigh no more
-                    if 3 <= len(w) <= 40:
-                        here.update(_parts(w))
+                    here.update(_parts(w))
                 for p, n in here.items():
                     entry = counts.setdefault(p, [0, 0, 0])
                     if label:
@@ -158,31 +160,32 @@ def count_terms(sample: DataFrame) -> DataFrame:
     return part.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("toxic_docs", "toxic", "clean")))
 
 
-def choose(counted: list[tuple[str, int, int, int]], toxic_words: int, clean_words: int) -> dict[str, float]:
-    """Weights of the terms that are clearly more frequent in toxic texts; a beginning that one longer entry explains goes."""
-    found = {}
-    for term, _, t, c in counted:
-        ratio = np.log((t + 0.5) / (toxic_words + 1)) - np.log((c + 0.5) / (clean_words + 1))
-        expected = (t + c) * toxic_words / max(1, toxic_words + clean_words)
-        evidence = 2 * (t * np.log(t / expected) + c * np.log(max(c, 1) / max(t + c - expected, 1e-9))) if t and expected else 0.0
-        if ratio > 1.2 and evidence > LEAST_Z**2:
-            found[term] = (float(ratio), t)
+def evident(terms: DataFrame) -> DataFrame:
+    """(term, ratio, toxic): the terms that are clearly more frequent in toxic texts, by a likelihood ratio test."""
+    words = terms.where("term like '% '").agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("tw"), F.coalesce(F.sum("clean"), F.lit(0)).alias("cw"))
+    both = terms.where(F.col("toxic_docs") >= TEXTS).crossJoin(F.broadcast(words))  # one row of totals
+    expected = (F.col("toxic") + F.col("clean")) * F.col("tw") / F.greatest(F.lit(1), F.col("tw") + F.col("cw"))
+    both = both.withColumn("expected", expected).withColumn("ratio", F.log((F.col("toxic") + 0.5) / (F.col("tw") + 1)) - F.log((F.col("clean") + 0.5) / (F.col("cw") + 1)))
+    other = F.greatest(F.col("toxic") + F.col("clean") - F.col("expected"), F.lit(1e-9))
+    evidence = 2 * (F.col("toxic") * F.log(F.col("toxic") / F.col("expected")) + F.col("clean") * F.log(F.greatest("clean", F.lit(1)) / other))
+    return both.where((F.col("ratio") > LEAST_RATIO) & (evidence > LEAST_Z**2)).select("term", "ratio", "toxic")
+
+
+def choose(counted: list[tuple[str, float, int]]) -> dict[str, float]:
+    """Weights of evident terms (term, ratio, occurrences); a beginning that one longer entry explains goes."""
+    found = {term: (ratio, t) for term, ratio, t in counted}
     most: dict[str, int] = {}  # occurrences of the longest entries under each beginning
     for term, (_, t) in found.items():
         word = term.strip()
-        for k in range(4, len(word) + (term[-1] == " ")):
+        for k in range(STEMS[0], min(STEMS[1] + 1, len(word) + (term[-1] == " "))):
             most[" " + word[:k]] = max(most.get(" " + word[:k], 0), t)
     kept = {e: w for e, (w, t) in found.items() if e[-1] == " " or most.get(e, 0) < 0.9 * t}
-    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
+    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0])))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = HELD_FOLDS, fold_out: int = HELD_FOLD, most: int = SAMPLE) -> Lexicon:
     sample = training_texts(docs, labels, "toxic", folds, fold_out, most)
-    terms = count_terms(sample)
-    words = terms.where("term like '% '").agg(F.sum("toxic"), F.sum("clean")).first()
-    # candidates are bounded by the sample; the count orders them so that the bound is the same each time
-    counted = terms.where("toxic_docs >= 3 and toxic > clean / 2").orderBy(F.desc("toxic_docs"), "term").limit(20 * ENTRIES).collect()
-    entries = choose([tuple(r) for r in counted], words[0] or 0, words[1] or 0)
+    entries = choose([tuple(r) for r in evident(count_terms(sample)).collect()])  # terms of the bounded sample that pass
     given = [f" {' '.join(fold(p).split())} " for p in PHRASES]
     first = Lexicon(entries, given, [0.0] * 8).dumps()
 
@@ -206,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = HELD_FOLDS, fold_out:
     seen = map_arrow(sample, run, "label int, x array<double>, contexts array<string>").persist()
     data = seen.select("label", "x").collect()  # a row of the bounded sample each
     context = seen.select("label", F.explode("contexts").alias("c")).groupBy("c").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n"))
-    learnt = [r.c for r in context.where("toxic = 0 and n >= 4").orderBy(F.desc("n"), "c").limit(EXCEPTIONS).collect()]
+    learnt = [r.c for r in context.where((F.col("toxic") == 0) & (F.col("n") >= CLEAN)).orderBy("c").collect()]
     seen.unpersist()
     y = np.array([r.label for r in data], np.float64)
     weights = logistic(np.array([r.x for r in data]).reshape(-1, 7), y) if len(y) else np.zeros(8)
@@ -215,13 +218,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = HELD_FOLDS, fold_out:
 
 def with_score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the toxicity of each whole text."""
-    model = lexicon.dumps()
+    model = docs.sparkSession.sparkContext.broadcast(lexicon.dumps())  # as large as the lexicon
     plain = docs.drop(score_col)
     at = plain.columns.index(text_col)
     names = [*plain.columns, score_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = loads(model)
+        lexicon = loads(model.value)
         for batch in batches:
             scores = [lexicon.score(t.as_py() or "") for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names)

@@ -47,10 +47,25 @@ def _hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     edges = np.diff(np.concatenate([[False], _WORD[b], [False]]).view(np.int8))
     first, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    h = _polynomials(b, first, end)
+    inner = np.concatenate([[0], np.cumsum((b & 0xC0) == 0x80)])  # bytes that continue a character
+    return h, end - first - (inner[end] - inner[first])
+
+
+def _polynomials(b: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = _powers(1 << max(16, len(b).bit_length()))
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
     h = (sums[end] - sums[first]) * down[first]
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    inner = np.concatenate([[0], np.cumsum((b & 0xC0) == 0x80)])  # bytes that continue a character
-    return h ^ (h >> np.uint64(27)), end - first - (inner[end] - inner[first])
+    return h ^ (h >> np.uint64(27))
+
+
+def token_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words given, which hold no blanks, in folded form."""
+    parts = [np.zeros(0, np.uint64)]
+    for k in range(0, len(words), 50_000):
+        b = np.frombuffer(" ".join(words[k : k + 50_000]).casefold().encode("utf-8", "surrogatepass"), np.uint8)
+        blanks = np.flatnonzero(b == 32)
+        parts.append(_polynomials(b, np.concatenate([[0], blanks + 1]), np.append(blanks, len(b))))
+    return np.concatenate(parts)
