@@ -63,9 +63,9 @@ class GateLimits:
 
 TARGET, HARD = Layout().target_chars, Layout().hard_chars
 #: Words that may not end a line, and words that don't start a phrase. Fixed values.
-WEAK_BREAK = "a o as os um uma de do da dos das em no na nos nas e que nao não".split()
-WEAK_START = "a ao as da de do e em na no o os por pra para que um uma".split()
-FILLERS = "ah eh hm hmm hum oh uh um music musica applause aplausos".split()
+WEAK_BREAK = ("a", "o", "as", "os", "um", "uma", "de", "do", "da", "dos", "das", "em", "no", "na", "nos", "nas", "e", "que", "nao", "não")
+WEAK_START = ("a", "ao", "as", "da", "de", "do", "e", "em", "na", "no", "o", "os", "por", "pra", "para", "que", "um", "uma")
+FILLERS = ("ah", "eh", "hm", "hmm", "hum", "oh", "uh", "um", "music", "musica", "applause", "aplausos")
 #: Transcript sources, and their priorities in a fallback. Fixed values.
 SOURCES = ("turbo-vocals", "medium-vocals", "medium-original", "medium-denoise", "turbo-original")
 PRIORITY = {"turbo-vocals": 42, "medium-vocals": 38, "medium-denoise": 10, "medium-original": 9, "turbo-original": 7, "youtube-caption": 5}

@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verseloom.config import FILLERS
+from verseloom.functions.decompose import without_marks
 
-#: Accented Latin letters and their base letters. Fixed values.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 PUNCTUATION = ".,;:!?()[]{}"
+#: What counts as in brackets. Fixed value.
+BRACKETED = r"^\s*[\[\(][^\[\]\(\)]*[\]\)]\s*$"
 
 
 def _c(x: Column | str) -> Column:
@@ -23,8 +23,8 @@ def squeeze(x: Column | str) -> Column:
 
 
 def unaccented(x: Column | str) -> Column:
-    """Lower case, sharp s as ss, accents gone."""
-    return F.translate(F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN)
+    """Lower case, sharp s as ss, compatibility forms spelt out, accents gone, in any script."""
+    return F.lower(without_marks(F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss"))))
 
 
 def phrase_form(x: Column | str) -> Column:
@@ -32,9 +32,13 @@ def phrase_form(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(unaccented(x), "[^a-z0-9]+", " "))
 
 
+#: Letters of the table form and their base letters. Fixed values.
+TABLE, TABLE_BASE = "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"
+
+
 def table_form(x: Column | str) -> Column:
     """The phrase form by a table of 24 letters: letters outside of it part words."""
-    return F.trim(F.regexp_replace(F.translate(F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss")), "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss")), TABLE, TABLE_BASE), "[^a-z0-9]+", " "))
 
 
 def token_form(x: Column | str) -> Column:
@@ -43,7 +47,7 @@ def token_form(x: Column | str) -> Column:
 
 
 def ascii_letters(x: Column | str) -> Column:
-    return F.regexp_replace(F.translate(F.lower(_c(x)), ACCENTED, PLAIN), "[^a-z]", "")
+    return F.regexp_replace(F.lower(without_marks(F.lower(_c(x)))), "[^a-z]", "")
 
 
 def bare_word(x: Column | str) -> Column:
@@ -66,8 +70,7 @@ def safe_filename(x: Column | str) -> Column:
     name = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"[/\\]", "_")
     suffix = F.regexp_extract(name, r"[^.](\.[^.]+)$", 1)
     stem = F.left(name, F.length(name) - F.length(suffix))
-    plain = F.translate(stem, ACCENTED + ACCENTED.upper(), PLAIN + PLAIN.upper())
-    ascii_only = F.regexp_replace(F.regexp_replace(plain, r"[^\x00-\x7F]", ""), "[^A-Za-z0-9._-]+", "_")
+    ascii_only = F.regexp_replace(F.regexp_replace(without_marks(stem), r"[^\x00-\x7F]", ""), "[^A-Za-z0-9._-]+", "_")
     return F.concat(F.coalesce(F.nullif(F.btrim(ascii_only, F.lit("._-")), F.lit("")), F.lit("audio")), F.coalesce(F.nullif(F.lower(suffix), F.lit("")), F.lit(".mp3")))
 
 
@@ -106,9 +109,9 @@ def special_token(x: Column | str) -> Column:
 
 
 def ignorable(x: Column | str) -> Column:
-    """Nothing that a lyric could match: empty, a filler, or in brackets."""
+    """Nothing that a lyric could match: empty, a filler, or in one pair of brackets of any kind."""
     form = token_form(x)
-    return (form == "") | form.isin(FILLERS) | F.trim(_c(x)).rlike(r"^(\[.*\]|\(.*\))$")
+    return (form == "") | form.isin(*FILLERS) | _c(x).rlike(BRACKETED)
 
 
 def repetition_marker(x: Column | str) -> Column:

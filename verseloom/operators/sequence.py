@@ -55,17 +55,30 @@ def run_penalty(tokens: DataFrame, keys: list[str], order: list[str], value: str
     return by_run.withColumn("penalty", F.when(F.col("n_tokens") <= 2, 0.0).otherwise(F.col("repeats") * 8.0 + F.greatest(F.col("longest") - 2, F.lit(0)) * 20.0))
 
 
-def variety_penalty(tokens: Column) -> Column:
-    """18 times the share of repeated tokens plus 8 for each repeated pair of neighbours."""
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    n = F.size(tokens)
-    return F.when(n <= 2, 0.0).otherwise((1 - F.size(F.array_distinct(tokens)) / n) * 18.0 + (F.size(pairs) - F.size(F.array_distinct(pairs))) * 8.0)
+def variety_penalty(n: Column, forms: Column, pairs: Column, distinct_pairs: Column) -> Column:
+    """18 times the share of repeated tokens plus 8 for each repeated pair of neighbours; nothing up to two tokens."""
+    return F.when(n <= 2, 0.0).otherwise((1 - forms / n) * 18.0 + (pairs - distinct_pairs) * 8.0)
+
+
+def variety(tokens: DataFrame, keys: list[str], order: list[str], value: str = "form") -> DataFrame:
+    """(keys, variety): pairs are counted first, then forms, then keys, all on one partitioning by the keys."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    pairs = tokens.withColumn("next", F.lead(value).over(w)).groupBy(*keys, value, "next").agg(F.count(F.lit(1)).alias("n"))
+    forms = pairs.groupBy(*keys, value).agg(F.sum("n").alias("n"), F.count("next").alias("distinct_pairs"), F.sum(F.when(F.col("next").isNotNull(), F.col("n"))).alias("pairs"))
+    by = forms.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"), F.sum("distinct_pairs").alias("distinct_pairs"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    return by.select(*keys, variety_penalty(F.col("n"), F.col("forms"), F.col("pairs"), F.col("distinct_pairs")).alias("variety"))
+
+
+def repetition(tokens: DataFrame, keys: list[str], order: list[str], value: str = "form") -> DataFrame:
+    """Both repetition penalties of each key."""
+    return run_penalty(tokens, keys, order, value).join(variety(tokens, keys, order, value), keys)
 
 
 def neighbours(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Adds the last value before and the first after each row, nulls skipped."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("before", F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first(value, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # both frames grow from their first row: one that shrinks towards the last row would be read anew for every row
+    w, back = (Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1) for by in (order, [F.desc_nulls_last(c) for c in order]))
+    return rows.withColumn("before", F.last(value, True).over(w)).withColumn("after", F.last(value, True).over(back))
 
 
 def interpolated(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -100,7 +113,7 @@ def boundaries(words: DataFrame, keys: list[str], cfg: Layout = Layout()) -> Dat
 
 def first_strong(words: DataFrame, keys: list[str]) -> DataFrame:
     """Adds the index of the first strong boundary at or after each word."""
-    w = Window.partitionBy(*keys).orderBy("word_idx").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys).orderBy(F.desc("word_idx")).rowsBetween(Window.unboundedPreceding, 0)
     return words.withColumn("strong_idx", F.min(F.when(F.col("strong_after"), F.col("word_idx"))).over(w))
 
 
@@ -117,12 +130,12 @@ def soft_boundaries(words: DataFrame, keys: list[str], target: int = 28, least:
     def step(s: Column, x: Column) -> Column:
         n, chars = s["n"] + 1, s["chars"] + x["chars"] + F.when(s["n"] > 0, 1).otherwise(0)
         hit = x["comma"] & ((n >= least) | (chars >= target))
-        return F.struct(F.when(hit, 0).otherwise(n).alias("n"), F.when(hit, 0).otherwise(chars).alias("chars"), F.concat(s["out"], F.array(hit)).alias("out"))
+        return F.struct(F.when(hit, 0).otherwise(n).alias("n"), F.when(hit, 0).otherwise(chars).alias("chars"), F.when(hit, F.concat(s["hits"], F.array(x["word_idx"]))).otherwise(s["hits"]).alias("hits"))
 
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array().cast("array<boolean>").alias("out"))
-    marks = cut.groupBy(*keys, "run").agg(items.alias("items")).withColumn("hit", F.aggregate("items", zero, step, lambda s: s["out"]))
-    flat = marks.select(*keys, F.explode(F.arrays_zip("items", "hit")).alias("x")).select(*keys, "x.items.word_idx", F.col("x.hit").alias("soft_after"))
-    return words.join(flat, [*keys, "word_idx"])
+    index = dict(words.dtypes)["word_idx"]
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array().cast(f"array<{index}>").alias("hits"))
+    marks = cut.groupBy(*keys, "run").agg(items.alias("items")).select(*keys, F.explode(F.aggregate("items", zero, step, lambda s: s["hits"])).alias("word_idx"), F.lit(True).alias("soft_after"))
+    return words.join(marks, [*keys, "word_idx"], "left").withColumn("soft_after", F.coalesce("soft_after", F.lit(False)))
 
 
 def word_spans(spans: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,15 +63,32 @@ def phrases(words: DataFrame, keys: list[str], cfg: Segmentation = Segmentation(
     # caps depend on the group so far and need a fold; hard breaks reset it, so each island is folded by itself
     items = F.array_sort(F.collect_list(F.struct("start", "end", "word_idx", "text")))
     grouped = cut_words.groupBy(*keys, "island").agg(items.alias("items"))
-    zero = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("n"), F.lit(0.0).alias("first"), F.lit(0.0).alias("end"), F.array().cast("array<int>").alias("out"))
+    state = {"n": F.lit(0), "first": F.lit(0.0), "end": F.lit(0.0)}
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> tuple[Column, dict[str, Column]]:
         new = (s["n"] == 0) | (s["end"] - s["first"] >= cfg.span) | (s["n"] >= cfg.phrase_words)
-        g = s["g"] + new.cast("int")
-        return F.struct(g.alias("g"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, x["start"]).otherwise(s["first"]).alias("first"), x["end"].alias("end"), F.concat(s["out"], F.array(g)).alias("out"))
+        return new, {"n": F.when(new, 1).otherwise(s["n"] + 1), "first": F.when(new, x["start"]).otherwise(s["first"]), "end": x["end"]}
+
+    return _parted(grouped, keys, state, step)
+
+
+def _parted(grouped: DataFrame, keys: list[str], state: dict[str, Column], step: Callable[[Column, Column], tuple[Column, dict[str, Column]]]) -> DataFrame:
+    """Words of ``items`` with the ``part`` that they are in: ``step`` says of each whether it begins one.
 
-    out = grouped.withColumn("part", F.aggregate("items", zero, step, lambda s: s["out"]))
-    return out.select(*keys, "island", F.explode(F.arrays_zip("items", "part")).alias("x")).select(*keys, "island", "x.items.word_idx", "x.items.text", "x.items.start", "x.items.end", "x.part")
+    The fold keeps the places of the beginnings alone, so a step copies nothing; parts are slices between them.
+    """
+
+    def counted(s: Column, x: Column) -> Column:
+        new, after = step(s, x)
+        begins = F.when(new, F.concat(s["begins"], F.array(s["at"]))).otherwise(s["begins"])
+        return F.struct(*(c.alias(k) for k, c in after.items()), (s["at"] + 1).alias("at"), begins.alias("begins"))
+
+    zero = F.struct(*(c.alias(k) for k, c in state.items()), F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
+    begun = grouped.withColumn("begins", F.aggregate("items", zero, counted, lambda s: s["begins"]))
+    ends = F.concat(F.slice("begins", F.lit(2), F.size("begins")), F.array(F.size("items")))
+    sliced = begun.select(*keys, "island", "items", F.posexplode(F.arrays_zip(F.col("begins").alias("a"), ends.alias("b"))).alias("part", "x"))
+    sliced = sliced.select(*keys, "island", "part", F.explode(F.slice("items", F.col("x.a") + 1, F.col("x.b") - F.col("x.a"))).alias("x"))
+    return sliced.select(*keys, "island", "x.word_idx", "x.text", "x.start", "x.end", "part")
 
 
 def lines(words: DataFrame, keys: list[str], cfg: Segmentation = Segmentation()) -> DataFrame:
@@ -77,29 +96,19 @@ def lines(words: DataFrame, keys: list[str], cfg: Segmentation = Segmentation())
     hard = (F.col("start") - F.col("prev_end") >= cfg.pause) | X.ends_with("prev_text", ".!?")
     cut_words = islands(words, keys, hard, ["start", "end", "word_idx"])
     soft = F.rtrim("text").rlike("[,;:]$")
-    upper = X.starts_upper("text") & ~F.lower(F.trim("text")).isin(WEAK_START)
+    upper = X.starts_upper("text") & ~F.lower(F.trim("text")).isin(*WEAK_START)
     items = F.array_sort(F.collect_list(F.struct("start", "end", "word_idx", "text", soft.alias("soft"), upper.alias("upper"))))
     grouped = cut_words.groupBy(*keys, "island").agg(items.alias("items"))
-    zero = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("n"), F.lit(0.0).alias("first"), F.lit(0.0).alias("end"), F.lit(False).alias("soft"), F.lit(-1).alias("chars"), F.array().cast("array<int>").alias("out"))
+    state = {"n": F.lit(0), "first": F.lit(0.0), "end": F.lit(0.0), "soft": F.lit(False), "chars": F.lit(-1)}
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> tuple[Column, dict[str, Column]]:
         span = s["end"] - s["first"]
         enough = (s["n"] >= 3) | (s["chars"] >= 12) | (span >= 2.0)
         new = (s["n"] == 0) | (s["soft"] & (s["n"] >= cfg.soft_line_words)) | (x["upper"] & enough) | (span >= cfg.span) | (s["n"] >= cfg.line_words)
-        g = s["g"] + new.cast("int")
         chars = F.length(x["text"])
-        return F.struct(
-            g.alias("g"),
-            F.when(new, 1).otherwise(s["n"] + 1).alias("n"),
-            F.when(new, x["start"]).otherwise(s["first"]).alias("first"),
-            x["end"].alias("end"),
-            x["soft"].alias("soft"),
-            F.when(new, chars).otherwise(s["chars"] + 1 + chars).alias("chars"),
-            F.concat(s["out"], F.array(g)).alias("out"),
-        )
-
-    out = grouped.withColumn("part", F.aggregate("items", zero, step, lambda s: s["out"]))
-    return out.select(*keys, "island", F.explode(F.arrays_zip("items", "part")).alias("x")).select(*keys, "island", "x.items.word_idx", "x.items.text", "x.items.start", "x.items.end", "x.part")
+        return new, {"n": F.when(new, 1).otherwise(s["n"] + 1), "first": F.when(new, x["start"]).otherwise(s["first"]), "end": x["end"], "soft": x["soft"], "chars": F.when(new, chars).otherwise(s["chars"] + 1 + chars)}
+
+    return _parted(grouped, keys, state, step)
 
 
 def gathered(parts: DataFrame, keys: list[str]) -> DataFrame:

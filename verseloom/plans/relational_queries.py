@@ -403,7 +403,7 @@ def span_attach(spark, d):
     return W.attached(e, targets, ["user_id"]).select("user_id", "start_frame", "word_idx", "token")
 
 
-@query(f"WITH {WORDS}, l AS (SELECT doc_id, word_idx, regexp_replace(translate(lower(text), '{X.ACCENTED}', '{X.PLAIN}'), '[^a-z]', '', 'g') AS w FROM words) SELECT doc_id, word_idx, array_to_string(list_transform(string_split(w, ''), lambda c: (ascii(c) - 96)::VARCHAR), ' ') AS targets FROM l WHERE w <> ''")
+@query(f"WITH {WORDS}, l AS (SELECT doc_id, word_idx, regexp_replace(strip_accents(lower(text)), '[^a-z]', '', 'g') AS w FROM words) SELECT doc_id, word_idx, array_to_string(list_transform(string_split(w, ''), lambda c: (ascii(c) - 96)::VARCHAR), ' ') AS targets FROM l WHERE w <> ''")
 def alignment_targets(spark, d):
     w = V.timed_words(read(spark, d, "documents")).select("doc_id", "word_idx", X.ascii_letters("text").alias("w")).where("w <> ''")
     return w.select("doc_id", "word_idx", F.array_join(F.transform(F.split("w", ""), lambda c: (F.ascii(c) - 96).cast("string")), " ").alias("targets"))
@@ -442,7 +442,7 @@ def archive_words(spark, d):
     return w.select("conv_id", "slide_idx", "pos", "text", (F.col("start_seconds") + F.col("step") * F.col("pos")).alias("start"), (F.col("start_seconds") + F.col("step") * (F.col("pos") + 1)).alias("end"))
 
 
-@query(f"WITH {WORDS} SELECT doc_id, count(*) FILTER ({sql_token('text')} = '' OR {sql_token('text')} IN ('ah','eh','hm','hmm','hum','oh','uh','um','music','musica','applause','aplausos') OR regexp_matches(trim(text), '^(\\[.*\\]|\\(.*\\))$')) AS skipped, count(*) FILTER (regexp_matches(text, '^\\s*\\[[^\\[\\]]*\\]\\s*$')) AS special, count(*) AS n FROM words GROUP BY doc_id")
+@query(f"WITH {WORDS} SELECT doc_id, count(*) FILTER ({sql_token('text')} = '' OR {sql_token('text')} IN ('ah','eh','hm','hmm','hum','oh','uh','um','music','musica','applause','aplausos') OR regexp_matches(text, '^\\s*[\\[\\(][^\\[\\]\\(\\)]*[\\]\\)]\\s*$')) AS skipped, count(*) FILTER (regexp_matches(text, '^\\s*\\[[^\\[\\]]*\\]\\s*$')) AS special, count(*) AS n FROM words GROUP BY doc_id")
 def ignorable_words(spark, d):
     w = V.timed_words(read(spark, d, "documents"))
     return w.groupBy("doc_id").agg(F.count_if(X.ignorable("text")).alias("skipped"), F.count_if(X.special_token("text")).alias("special"), F.count(F.lit(1)).alias("n"))

@@ -43,7 +43,7 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.col("event_id").alias("idx"), F.col("event_type").alias("source"), start.alias("start"), (start + F.col("value")).alias("end"), "value", "props")
 
 
-UNACC = f"translate(replace(lower({{0}}), 'ß', 'ss'), '{X.ACCENTED}', '{X.PLAIN}')"
+UNACC = "strip_accents(replace(lower({0}), 'ß', 'ss'))"
 
 
 def sql_unaccented(x: str) -> str:
@@ -74,7 +74,7 @@ def normalize_text(spark, d):
     return read(spark, d, "documents").select("doc_id", X.phrase_form("text").alias("normalized"), X.word_count("text").alias("n_words"), X.normal_word_count("text").alias("n_normal"))
 
 
-@query(f"WITH {WORDS} SELECT doc_id, word_idx, {sql_token('text')} AS token, regexp_replace(translate(lower(text), '{X.ACCENTED}', '{X.PLAIN}'), '[^a-z]', '', 'g') AS letters, {sql_bare('text')} AS bare FROM words")
+@query(f"WITH {WORDS} SELECT doc_id, word_idx, {sql_token('text')} AS token, regexp_replace(strip_accents(lower(text)), '[^a-z]', '', 'g') AS letters, {sql_bare('text')} AS bare FROM words")
 def normalize_token(spark, d):
     return V.timed_words(read(spark, d, "documents")).select("doc_id", "word_idx", X.token_form("text").alias("token"), X.ascii_letters("text").alias("letters"), X.bare_word("text").alias("bare"))
 
@@ -86,6 +86,25 @@ def normalize_by_table(spark, d):
     return read(spark, d, "documents").select("doc_id", X.table_form("text").alias("by_table"))
 
 
+#: Letters of the documents, and what stands for them in the next query: precomposed letters beyond Latin-1, and decomposed ones.
+BEYOND = {"a": "ǎ", "d": "ď", "e": "e\u0301", "i": "į", "o": "o\u0308\u0304", "r": "ř", "s": "ş", "t": "т", "u": "ů", "z": "ž"}
+
+
+def _beyond(x: str) -> str:
+    for a, b in BEYOND.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+@query(f"SELECT doc_id, {sql_phrase('t')} AS normalized, {sql_token('t')} AS token, regexp_replace(strip_accents(lower(t)), '[^a-z]', '', 'g') AS letters FROM (SELECT doc_id, {_beyond('lower(text)')} AS t FROM documents)")
+def normalize_beyond_latin(spark, d):
+    """The three normal forms of texts whose letters are precomposed beyond Latin-1, decomposed, or of another script."""
+    t = F.lower("text")
+    for a, b in BEYOND.items():
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return read(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", X.phrase_form("t").alias("normalized"), X.token_form("t").alias("token"), X.ascii_letters("t").alias("letters"))
+
+
 @query(f"SELECT page_id, coalesce(nullif(left(replace({sql_phrase('url')}, ' ', '-'), 80), ''), 'untitled') AS slug FROM pages")
 def slug(spark, d):
     return read(spark, d, "pages").select("page_id", X.slug("url").alias("slug"))
@@ -93,7 +112,7 @@ def slug(spark, d):
 
 @query(
     r"""WITH n AS (SELECT page_id, regexp_replace(url, '[/\\]', '_', 'g') AS name FROM pages), s AS (SELECT *, regexp_extract(name, '[^.](\.[^.]+)$', 1) AS suffix FROM n)
-    SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(left(name, length(name) - length(suffix)), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9._-]+', '_', 'g'), '._-'), ''), 'audio') || coalesce(nullif(lower(suffix), ''), '.mp3') AS filename FROM s"""
+    SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(strip_accents(left(name, length(name) - length(suffix))), '[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9._-]+', '_', 'g'), '._-'), ''), 'audio') || coalesce(nullif(lower(suffix), ''), '.mp3') AS filename FROM s"""
 )
 def safe_filename(spark, d):
     return read(spark, d, "pages").select("page_id", X.safe_filename("url").alias("filename"))
@@ -276,8 +295,9 @@ def repeated_line_collapse(spark, d):
 )
 def run_length_collapse(spark, d):
     e = read(spark, d, "events")
-    blank = e.agg(F.min("event_type").alias("blank"))
-    frames = e.join(F.broadcast(blank)).select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("frame"), F.when(F.col("event_type") == F.col("blank"), 0).otherwise(F.ascii("event_type")).alias("token"))
+    e.createOrReplaceTempView("frame_events")
+    e = e.withColumn("blank", F.expr("(SELECT min(event_type) FROM frame_events)"))
+    frames = e.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("frame"), F.when(F.col("event_type") == F.col("blank"), 0).otherwise(F.ascii("event_type")).alias("token"))
     return W.collapsed_path(frames, ["user_id"])
 
 
@@ -290,5 +310,4 @@ def run_length_collapse(spark, d):
 )
 def repetition_penalty(spark, d):
     tokens = V.timed_words(read(spark, d, "documents")).select("doc_id", "word_idx", X.token_form("text").alias("form"))
-    variety = tokens.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "form"))), lambda x: x["form"]).alias("forms")).select("doc_id", W.variety_penalty(F.col("forms")).alias("variety"))
-    return W.run_penalty(tokens, ["doc_id"], ["word_idx"]).join(variety, "doc_id")
+    return W.repetition(tokens, ["doc_id"], ["word_idx"])
