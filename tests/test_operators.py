@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verseloom import plans
 from verseloom.config import GateLimits, Layout
+from verseloom.functions import text as X
 from verseloom.operators import alignment as A
 from verseloom.operators import consensus as C
 from verseloom.operators import distance as D
@@ -14,6 +15,7 @@ from verseloom.operators import gate as G
 from verseloom.operators import joins as J
 from verseloom.operators import layout as L
 from verseloom.operators import quality as Q
+from verseloom.operators import ranking as R
 from verseloom.operators import sequence as W
 from verseloom.operators import words as V
 from verseloom.sources import captions, ini
@@ -27,6 +29,10 @@ def timed(text, step=0.5, gaps=None, start=0.0):
     return out
 
 
+def columns(words):
+    return ([w[c] for w in words] for c in ("text", "start", "end"))
+
+
 def test_segments_at_the_pause(spark):
     rows = [(1, 0, "alfa", 1.0, 1.2), (1, 1, "beta", 1.3, 1.5), (1, 2, "gama", 2.3, 2.5), (1, 3, "delta", 2.6, 2.8)]
     w = spark.createDataFrame(rows, "song int, word_idx int, text string, start double, end double")
@@ -131,12 +137,12 @@ LAYOUTS = [
 
 @pytest.mark.parametrize("words, cfg, want", LAYOUTS)
 def test_layout(words, cfg, want):
-    assert [(lines, aux) for lines, _, _, aux in L.plan(words, cfg)] == want
+    assert [(lines, aux) for lines, _, _, aux in L.plan(*columns(words), cfg=cfg)] == want
 
 
 def test_layout_one_line_only():
     words = timed("Toma Teu lugar de honra Queremos Tua Presenca aqui e agora mesmo")
-    assert all(len(lines) == 1 for lines, *_ in L.plan(words, Layout(max_lines=1)))
+    assert all(len(lines) == 1 for lines, *_ in L.plan(*columns(words), cfg=Layout(max_lines=1)))
 
 
 def test_layout_keeps_words_in_order_and_lines_short():
@@ -145,12 +151,33 @@ def test_layout_keeps_words_in_order_and_lines_short():
         n = rng.randint(1, 120)
         text = " ".join("x" * rng.randint(1, 12) + rng.choice(["", "", "", ",", "."]) for _ in range(n))
         words = timed(text, gaps={i: rng.choice([0, 0, 0, 0.7, 3.5]) for i in range(n)})
-        slides = L.plan(words, Layout())
+        slides = L.plan(*columns(words))
         said = [w for lines, _, _, aux in slides for part in (*lines, *([aux] if aux else [])) for w in part.split()]
         assert said == text.split()
         assert all(len(x) <= 34 for lines, *_ in slides for x in lines)
 
 
+def test_overlong_cut_is_the_cheapest():
+    rng = random.Random(7)
+    for _ in range(300):
+        n = rng.randint(2, 40)
+        text = [rng.choice(["de", "o", "x" * rng.randint(1, 12), "y" * rng.randint(20, 70)]) for _ in range(n)]
+        song = L.Song(text, [float(k) for k in range(n)], [k + 0.9 for k in range(n)], [None] * n, [None] * n, Layout())
+        i, j = sorted(rng.sample(range(n), 2))
+        costs = []
+        for k in range(i, j):
+            a, b = len(" ".join(text[i : k + 1])), len(" ".join(text[k + 1 : j + 1]))
+            costs.append((1000.0 + max(a, b) * 2.0 + abs(a - b) * 0.2 + (10.0 if text[k] in ("de", "o") else 0.0), k))
+        got = song._overlong(i, j)
+        assert (got.score, got.first) == min(costs)
+
+
+def test_layout_of_a_long_song_without_breaks():
+    words = timed(" ".join("palavra" for _ in range(6_000)))
+    slides = L.plan(*columns(words))
+    assert sum(len(x.split()) for lines, *_ in slides for x in lines) == 6_000
+
+
 def test_layout_repeats(spark):
     words = timed("Fala comigo Fala comigo Fala comigo", gaps={1: 4.0, 3: 4.0})
     df = spark.createDataFrame([(1, i, w["text"], w["start"], w["end"], None, None) for i, w in enumerate(words)], "song int, word_idx int, text string, start double, end double, line_index int, section_index int")
@@ -158,42 +185,98 @@ def test_layout_repeats(spark):
     assert [(r.lines, r.aux_text) for r in got] == [(["Fala comigo"], "(3x)")]
 
 
-def phrase(source, start, end, text):
-    words = tuple((t, start, end) for t in text.split())
-    return C.Phrase(source, start, end, text, text, words)
+def groups_of(phrases):
+    """Groups of (source, start, end, form), as sets of places."""
+    order = sorted(range(len(phrases)), key=lambda k: (phrases[k][1], phrases[k][2], phrases[k][0]))
+    cols = list(zip(*(phrases[k] for k in order)))
+    parts = C.Groups(list(cols[1]), list(cols[2]), list(cols[3]), list(cols[0])).assign(0.5)
+    return sorted(sorted(order[k] for k in range(len(order)) if parts[k] == g) for g in set(parts))
 
 
 def test_groups_hold_one_phrase_a_source():
-    a, b, c = phrase("a", 1.0, 2.0, "alfa beta"), phrase("b", 1.1, 2.1, "alfa beta"), phrase("a", 8.0, 9.0, "gama")
-    groups = C.grouped([c, b, a])
-    assert [sorted(p.source for p in g) for g in groups] == [["a", "b"], ["a"]]
+    assert groups_of([("a", 8.0, 9.0, "gama"), ("b", 1.1, 2.1, "alfa beta"), ("a", 1.0, 2.0, "alfa beta")]) == [[0], [1, 2]]
+
 
+def test_outlier_never_wins(spark):
+    says = {"a": "alfa beta gama delta", "b": "alfa beta gama delta", "c": "zeta"}
+    song = sung(spark, *((name, [(t, 1.0 + 0.4 * k, 1.3 + 0.4 * k) for k, t in enumerate(text.split())]) for name, text in says.items()))
+    got = C.consensus(song, "song").collect()
+    assert [r.text for r in got] == [says["a"]] and got[0].support == 2 and got[0].n_sources == 3
 
-def test_outlier_never_wins():
-    g = [phrase("a", 1.0, 3.0, "alfa beta gama delta"), phrase("b", 1.0, 3.0, "alfa beta gama delta"), phrase("c", 1.0, 3.0, "zeta")]
-    best, *_ = C.decide(g)
-    assert best.text == "alfa beta gama delta"
+
+def brute_value(p, group):
+    """How well a phrase belongs to a group, rule by rule."""
+    _, a, b, form = p
+    like = max(C.text_likeness(form, q[3]) for q in group)
+    over = max(max(0.0, min(b, q[2]) - max(a, q[1])) / max(min(b - a, q[2] - q[1]), 0.001) for q in group)
+    apart = min(abs((a + b) - (q[1] + q[2])) / 2 for q in group)
+    if over >= 0.35:
+        return 0.55 + 0.25 * like
+    if apart <= 2 and like >= 0.2:
+        return 0.5 + 0.25 * like
+    if apart <= 8 and like >= 0.72:
+        return 0.5 + 0.3 * like
+    return 0.45 * max(over, like)
 
 
 def test_pruned_groups_equal_unpruned_ones():
     rng = random.Random(1)
-
-    def all_pairs(phrases):
+    for _ in range(20):
+        ps = [(rng.choice("abc"), s := rng.uniform(0, 60), s + rng.uniform(0.2, 12), rng.choice(["alfa beta", "alfa beta gama", "zeta"])) for _ in range(40)]
         groups = []
-        for p in sorted(phrases, key=lambda p: (p.start, p.end, p.source)):
+        for k in sorted(range(len(ps)), key=lambda k: (ps[k][1], ps[k][2], ps[k][0])):
             best, where = 0.0, None
             for g in groups:
-                if all(q.source != p.source for q in g) and (a := C.affinity(p, g)) > best:
-                    best, where = a, g
+                if all(ps[q][0] != ps[k][0] for q in g) and (v := brute_value(ps[k], [ps[q] for q in g])) > best:
+                    best, where = v, g
             if where is not None and best >= 0.5:
-                where.append(p)
+                where.append(k)
             else:
-                groups.append([p])
-        return sorted(sorted((p.source, p.start) for p in g) for g in groups)
-
-    for _ in range(20):
-        ps = [phrase(rng.choice("abc"), s := rng.uniform(0, 60), s + rng.uniform(0.2, 12), rng.choice(["alfa beta", "alfa beta gama", "zeta"])) for _ in range(40)]
-        assert sorted(sorted((p.source, p.start) for p in g) for g in C.grouped(ps)) == all_pairs(ps)
+                groups.append([k])
+        assert groups_of(ps) == sorted(map(sorted, groups))
+
+
+def test_decisions_against_brute_force(spark):
+    """Score, support and doubt of every phrase of random songs, worked out one by one."""
+    import math
+    from statistics import mean, median
+
+    rng, cfg, vocabulary = random.Random(4), Layout(allow_aux=False), "alfa beta gama delta ira zeta luz paz um dois".split()
+    rows = []
+    for song in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(3, 30))]
+        for source in ("turbo-vocals", "medium-vocals", "medium-denoise")[: rng.randint(1, 3)]:
+            t = rng.uniform(0, 0.5)
+            for k, w in enumerate(base):
+                t += rng.choice([0.4, 0.5, 1.5])
+                if rng.random() < 0.85:
+                    rows.append((song, source, k, w if rng.random() < 0.8 else rng.choice(vocabulary), t, t + 0.35))
+    words = spark.createDataFrame(rows, "song int, source string, word_idx int, text string, start double, end double")
+    phrases = C.arranged(words, "song", cfg)
+    got = {(r.song, r.start, r.end): r for r in C.decided(phrases, "song", cfg).collect()}
+    groups = {}
+    for r in phrases.collect():
+        groups.setdefault((r.song, r.part), []).append(r)
+    assert len(got) == len(groups)
+    for (song, _), own in groups.items():
+        rated = []
+        for p in own:
+            likes = [C.text_likeness(p.form, q.form) for q in own if q is not p]
+            agreement, n = mean(likes) if likes else 0.55, len(p.words) / median(len(q.words) for q in own)
+            lengths = [x for s in p.slides for x in s.lengths] or [len(p.text)]
+            tokens = p.form.split()
+            pairs = list(zip(tokens, tokens[1:]))
+            cost = abs(n - 1) * 6 if 0.75 <= n <= 1.35 else 18 + 10 * min(abs(math.log(n)), 2.5)
+            cost += 1.5 * min(abs((p.start + p.end) / 2 - median((q.start + q.end) / 2 for q in own)), 10) + min(abs(p.end - p.start - median(q.end - q.start for q in own)), 8)
+            cost += 30 * sum(x > 34 for x in lengths) + 4 * sum(x > 28 for x in lengths)
+            cost += (1 - len(set(tokens)) / len(tokens)) * 18 + (len(pairs) - len(set(pairs))) * 8 if len(tokens) > 2 else 0
+            support = 1 + sum(x >= 0.62 for x in likes)
+            rated.append((-min(100.0, max(0.0, 20 + 52 * agreement + 7 * min(support, 3) - cost)), p.source, agreement, support, n))
+        score, source, agreement, support, n = min(rated)
+        r = got[song, min(p.start for p in own), max(p.end for p in own)]
+        assert (r.source, r.support, r.n_sources) == (source, support, len(own)) and r.score == pytest.approx(-score, abs=1e-9)
+        weak = -score < 55 or (len(own) > 1 and agreement < 0.42) or (support == 1 and len(own) >= 3) or not 0.6 <= n <= 1.7
+        assert bool(r.doubt) == weak
 
 
 def brute_align(tokens, heard):
@@ -372,17 +455,18 @@ def test_consensus_transcript_at_risk(spark):
     assert (r.source, r.n_words, r.reason) == ("turbo-vocals", 4, got[0].reason)
 
 
-def test_risk_reasons_and_repeated_words():
-    p = lambda source, a, b, *words: C.Phrase(source, a, b, "", "", words)
-    groups = [[p("a", k, k + 0.9), p("b", k, k + 0.9)] for k in range(10)] + [[p("a", 9.5, 11.0), p("b", 9.5, 11.0)]]
-    sure = [(g[0], 90.0, 2, "") for g in groups]
-    assert C.risk_reasons(groups, sure, 2) == ["overlapping phrase windows 1/10 (10.0%)"] and C.risk_reasons(groups, sure, 1) == []
-    apart, single = groups[:9], [(g[0], 90.0, 1, "") for g in groups[:9]]
-    assert C.risk_reasons(apart, single, 2) == [] and C.risk_reasons(apart, single, 3) == ["single-source phrase winners 9/9 (100.0%)"]
-    many = [[p("ab"[k % 2], float(k), k + 0.5)] for k in range(18)]
-    assert C.risk_reasons(many, [(g[0], 90.0, 2, "") for g in many], 2) == ["phrase fragmentation 18 decisions vs median candidate 9.0"]
-    decisions = [(p("a", 0, 1, ("Oh", 0.4, 0.5), ("oh", 0.0, 0.1)), 90.0, 2, ""), (p("b", 0, 1, ("oh,", 0.2, 0.3)), 90.0, 2, "")]
-    assert C.winners_words(decisions, {"Oh": "oh", "oh": "oh", "oh,": "oh"}) == [("oh", 0.0, 0.1, "a"), ("Oh", 0.4, 0.5, "a")]
+def test_risk_reasons_and_repeated_words(spark):
+    def reasons(*decisions):
+        rows = [(1, low, support, cands, over, mid) for low, support, cands, over, mid in decisions]
+        return R.risk_reasons(spark.createDataFrame(rows, "song int, low boolean, support int, n_candidates int, overlap boolean, median_phrases double"), "song").first().reasons
+
+    sure = (False, 2, 2, False, 11.0)
+    assert reasons(*[sure] * 10, (False, 2, 2, True, 11.0)) == "overlapping phrase windows 1/10 (10.0%)"
+    assert reasons(*[(False, 1, 2, False, 9.0)] * 9) == "" and reasons(*[(False, 1, 3, False, 9.0)] * 9) == "single-source phrase winners 9/9 (100.0%)"
+    assert reasons(*[(False, 2, 2, False, 9.0)] * 18) == "phrase fragmentation 18 decisions vs median candidate 9.0"
+    said = spark.createDataFrame([(1, 0, "oh", 0.0, 0.1, "a"), (1, 1, "oh,", 0.2, 0.3, "b"), (1, 2, "Oh", 0.4, 0.5, "a")], "song int, word_idx int, text string, start double, end double, source string")
+    kept = V.deduplicated_words(said, ["song"], form=X.phrase_form, extra=["source"]).orderBy("word_idx").collect()
+    assert [(r.text, r.start, r.end, r.source) for r in kept] == [("oh", 0.0, 0.1, "a"), ("Oh", 0.4, 0.5, "a")]
 
 
 def test_captions(spark):

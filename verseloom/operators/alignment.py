@@ -73,10 +73,10 @@ def aligned_tokens(tokens: DataFrame, heard: DataFrame, key: str) -> DataFrame:
     a = tokens.select(key, F.lit(0).alias("side"), F.col("token_index").cast("long").alias("pos"), F.col("normalized").alias("form"))
     b = heard.where(~X.ignorable("text")).select(key, F.lit(1).alias("side"), F.col("word_idx").cast("long").alias("pos"), X.token_form("text").alias("form"))
 
-    def run(song: object, rows: list[dict]) -> Iterator[tuple]:
-        lyric, words = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
-        for r, k in zip(lyric, align([r["form"] for r in lyric], [r["form"] for r in words])):
-            yield song, r["pos"], None if k is None else words[k]["pos"]
+    def run(song: object, rows: dict[str, list]) -> Iterator[tuple]:
+        n, pos, forms = rows["side"].count(0), rows["pos"], rows["form"]
+        for at, k in zip(pos, align(forms[:n], forms[n:])):
+            yield song, at, None if k is None else pos[n + k]
 
     kind = dict(tokens.dtypes)[key]
     return map_groups(a.unionByName(b), key, ["side", "pos"], run, f"{key} {kind}, token_index long, word_idx long")

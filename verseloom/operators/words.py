@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,20 +118,23 @@ def gathered(parts: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("normalized", X.phrase_form("text"))
 
 
-def deduplicated_words(words: DataFrame, keys: list[str], window: float = 0.25) -> DataFrame:
-    """Drops a word equal to the last kept one within ``window`` seconds of its start; runs of equal words are folded by themselves."""
+def deduplicated_words(words: DataFrame, keys: list[str], window: float = 0.25, form: Callable[[str], Column] = X.token_form, extra: Sequence[str] = ()) -> DataFrame:
+    """Drops a word equal to the last kept one within ``window`` seconds of its start; runs of equal words are folded by themselves. ``extra`` columns stay."""
     w = Window.partitionBy(*keys).orderBy("start", "end", "word_idx")
-    form = words.withColumn("form", X.token_form("text"))
+    formed = words.withColumn("form", form("text"))
     # a different word always is kept and becomes the last one, so a fold may begin at each change
-    runs = form.withColumn("run", F.sum(F.coalesce(F.col("form") != F.lag("form").over(w), F.lit(True)).cast("int")).over(w))
-    items = F.array_sort(F.collect_list(F.struct("start", "end", "word_idx", "text")))
-    kept = F.aggregate(
+    runs = formed.withColumn("run", F.sum(F.coalesce(F.col("form") != F.lag("form").over(w), F.lit(True)).cast("int")).over(w))
+    items = F.array_sort(F.collect_list(F.struct("start", "end", "word_idx", "text", *extra)))
+    begun = F.aggregate(
         "items",
-        F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<start:double,end:double,word_idx:bigint,text:string>>").alias("out")),
-        lambda s, x: F.when(s["last"].isNotNull() & (F.abs(x["start"] - s["last"]) < window), s).otherwise(F.struct(x["start"].alias("last"), F.concat(s["out"], F.array(x)).alias("out"))),
-        lambda s: s["out"],
+        F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("kept")),
+        lambda s, x: F.when(s["last"].isNotNull() & (F.abs(x["start"] - s["last"]) < window), F.struct(s["last"].alias("last"), (s["at"] + 1).alias("at"), s["kept"].alias("kept"))).otherwise(
+            F.struct(x["start"].alias("last"), (s["at"] + 1).alias("at"), F.concat(s["kept"], F.array(s["at"])).alias("kept"))
+        ),
+        lambda s: s["kept"],
     )
-    return runs.withColumn("word_idx", F.col("word_idx").cast("long")).groupBy(*keys, "run").agg(items.alias("items")).select(*keys, F.inline(kept))
+    grouped = runs.withColumn("word_idx", F.col("word_idx").cast("long")).groupBy(*keys, "run").agg(items.alias("items")).withColumn("kept", begun)
+    return grouped.select(*keys, F.inline(F.transform("kept", lambda k: F.get("items", k))))
 
 
 def document(tokens: DataFrame, key: str) -> DataFrame:

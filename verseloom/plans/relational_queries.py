@@ -14,7 +14,7 @@ from verseloom.operators import joins as J
 from verseloom.operators import ranking as R
 from verseloom.operators import sequence as W
 from verseloom.operators import words as V
-from verseloom.plans.scalar_queries import EV, SLIDES, WORDS, conversation_slides, ev, longs, read, sql_phrase, sql_ratio, sql_token
+from verseloom.plans.scalar_queries import EV, SLIDES, WORDS, conversation_slides, ev, longs, read, sql_percent, sql_phrase, sql_ratio, sql_token
 from verseloom.sources import captions, ini
 
 QUERIES: dict = {}
@@ -201,9 +201,12 @@ def whole_candidates(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT l_orderkey AS song, l_discount < 0.02 AS low, l_linenumber % 3 AS support, 3 AS cands, l_tax > 0.06 AS ov, 2.0 AS ph FROM lineitem),
-    a AS (SELECT song, count(*) AS n, avg(low::INT) AS low, avg((support = 1)::INT) AS single, count(*) FILTER (ov) AS "overlaps" FROM x GROUP BY song)
-    SELECT song, n, "overlaps", array_to_string(list_filter([CASE WHEN low >= 0.25 THEN 'low-confidence' END, CASE WHEN single >= 0.45 THEN 'single-source' END, CASE WHEN "overlaps" >= 2 OR "overlaps"::DOUBLE / n >= 0.1 THEN 'overlap' END, CASE WHEN n > 7 THEN 'phrase-count' END], lambda r: r IS NOT NULL), ';') AS reasons FROM a"""
+    f"""WITH x AS (SELECT l_orderkey AS song, l_discount < 0.02 AS low, l_linenumber % 3 AS support, 3 AS cands, l_tax > 0.06 AS ov, 2.0 AS ph FROM lineitem),
+    a AS (SELECT song, count(*) AS n, count(*) FILTER (low) AS low, count(*) FILTER (support <= 1) AS single, count(*) FILTER (ov) AS "overlaps", greatest(count(*) - 1, 1) AS pairs FROM x GROUP BY song)
+    SELECT song, n, "overlaps", array_to_string(list_filter([CASE WHEN low::DOUBLE / n >= 0.25 THEN printf('low-confidence phrases %d/%d (', low, n) || {sql_percent('low::DOUBLE / n')} || ')' END,
+    CASE WHEN single::DOUBLE / n >= 0.45 THEN printf('single-source phrase winners %d/%d (', single, n) || {sql_percent('single::DOUBLE / n')} || ')' END,
+    CASE WHEN "overlaps" >= 2 OR "overlaps" > 0 AND "overlaps"::DOUBLE / pairs >= 0.1 THEN printf('overlapping phrase windows %d/%d (', "overlaps", pairs) || {sql_percent('"overlaps"::DOUBLE / pairs')} || ')' END,
+    CASE WHEN n > 7 THEN printf('phrase fragmentation %d decisions vs median candidate 2.0', n) END], lambda r: r IS NOT NULL), '; ') AS reasons FROM a"""
 )
 def consensus_risk(spark, d):
     li = read(spark, d, "lineitem")

@@ -6,6 +6,7 @@ import atexit
 import pathlib
 import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -30,8 +31,35 @@ def send_code(spark: SparkSession) -> None:
         _SENT.add(sc.applicationId)
 
 
-def map_groups(rows: DataFrame, key: str, order: list[str], fn: Callable[[object, list[dict]], Iterator[tuple]], schema: str) -> DataFrame:
-    """``fn(key, rows of the key in order)`` yields tuples of ``schema``; groups are as large as a song or document.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only a local master that names none (tests on one machine) gets a temporary one; a cluster must name it.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="verseloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = "file://" + folder
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/verseloom/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: writes ``df`` as a table in the shared folder and reads it again."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def map_groups(rows: DataFrame, key: str, order: list[str], fn: Callable[[object, dict[str, list]], Iterator[tuple]], schema: str) -> DataFrame:
+    """``fn(key, columns of the key's rows in order)`` yields tuples of ``schema``; groups are as large as a song or document.
 
     The sort is Spark's (it spills); a task holds one group at a time.
     """
@@ -48,17 +76,21 @@ def map_groups(rows: DataFrame, key: str, order: list[str], fn: Callable[[object
             cols = list(zip(*out)) or [()] * len(target)
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, target)], schema=target)
 
-        now, group, started = None, [], False
+        now, group = None, None
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_pylist():
-                if started and row[key] != now:
+            keys, cols = batch.column(key).to_pylist(), {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)] if keys else []
+            for a, b in zip(cuts, cuts[1:]):
+                if group is not None and keys[a] != now:
                     out += fn(now, group)
-                    group = []
-                now, started = row[key], True
-                group.append(row)
+                    group = None
+                if group is None:
+                    now, group = keys[a], {n: [] for n in cols}
+                for n, values in cols.items():
+                    group[n] += values[a:b]
             yield made(out)
-        if started:
+        if group is not None:
             yield made(list(fn(now, group)))
 
     return dealt.mapInArrow(run, schema)
