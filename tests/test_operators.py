@@ -113,6 +113,37 @@ def test_refined_words_clamp(spark):
     assert [r.start for r in got] == sorted(r.start for r in got)
 
 
+def test_words_without_letters_have_no_targets(spark):
+    words = spark.createDataFrame([(1, 0, "Ção!"), (1, 1, "24"), (1, 2, "ab")], "song int, word_idx int, text string")
+    assert [(r.word_idx, r.targets) for r in V.alignment_targets(words, ["song"]).orderBy("word_idx").collect()] == [(0, [3, 1, 15]), (2, [1, 2])]
+    with pytest.raises(Exception, match="no word can be aligned"):
+        V.alignment_targets(words.where("word_idx = 1"), ["song"]).collect()
+
+
+def test_candidates_keep_valid_words(spark):
+    rows = [(1, 0, "b", 2.0, 2.5), (1, 1, "a", 1.0, 1.5), (1, 2, " ", 0.0, 1.0), (1, 3, "...", 0.0, 1.0), (1, 4, "x", 3.0, 2.0), (1, 5, "y", -1.0, 2.0), (2, 0, "z", 0.0, 0.5)]
+    words = spark.createDataFrame(rows, "song int, word_idx int, text string, start double, end double")
+    got = V.candidate_words(words, ["song"], "s").orderBy("song", "word_idx").collect()
+    assert [(r.song, r.word_idx, r.text, r.source, r.duration) for r in got] == [(1, 0, "a", "s", 2.5), (1, 1, "b", "s", 2.5), (2, 0, "z", "s", 1.0)]
+    good, bad = V.validated(words.withColumn("parent_word_idx", F.lit(-1)))
+    assert good.count() == 0 and bad.count() == len(rows)
+
+
+def test_documents_nest_and_flatten(spark):
+    rows = [(1, 0, 0, 0, "alfa", 1.0, 1.4), (1, 0, 0, 1, "beta", 1.5, 1.9), (1, 1, 1, 2, "gama", 3.0, 3.4)]
+    words = spark.createDataFrame(rows, "song int, section_index int, line_index int, word_idx int, text string, start double, end double")
+    got = V.line_words(V.flattened(V.document(words, "song"), "song"), ["song"]).orderBy("line_index", "pos").collect()
+    assert [(r.section_index, r.line_index, r.text, r.start, r.end) for r in got] == [(a, b, t, x, y) for _, a, b, _, t, x, y in rows]
+
+
+def test_spans_over_bucket_borders(spark, monkeypatch):
+    monkeypatch.setattr(W, "BUCKET", 10)
+    index = [1, 2, 9, 10, 11, 19, 20, 21, *range(28, 43), 50, 59, 61]
+    df = spark.createDataFrame([("k", i) for i in index], "key string, i long")
+    got = sorted((r.first, r.last, r.n) for r in W.consecutive_spans(df, ["key"], "i").collect())
+    assert got == [(1, 2, 2), (9, 11, 3), (19, 21, 3), (28, 42, 15), (50, 50, 1), (59, 59, 1), (61, 61, 1)]
+
+
 def test_interpolation_between_neighbours(spark):
     rows = spark.createDataFrame([(1, 0, 1.0, 1.2), (1, 1, None, None), (1, 2, 2.0, 2.4), (1, 3, None, None)], "song int, idx int, start double, end double")
     got = W.interpolated(rows, ["song"], ["idx"]).orderBy("idx").collect()

@@ -41,9 +41,58 @@ def test_metadata_and_records(spark, tmp_path):
         files.dispatch("a.txt")
 
 
+def test_archive_points_to_its_audio():
+    lja = "[Geral]\r\nurl_musica=audio\\song.mp3\r\n"
+    with zipfile.ZipFile(io.BytesIO(archive.archive_bytes(lja, b"mp3"))) as z:
+        assert z.read("audio\\song.mp3") == b"mp3"
+    assert archive.slides_of_archive(archive.archive_bytes(lja, b""))[1] == "audio\\song.mp3"
+    assert archive.audio_member("[Slide:1]\r\naudio=x\r\n") == "audio\\audio.mp3"
+
+
+def test_json_is_saved_whole(tmp_path):
+    path = str(tmp_path / "a" / "x.json")
+    assert files.load_json(path) is None
+    files.save_json(path, {"b": "é", "a": 1})
+    files.save_json(path, {"b": "ü", "a": 2})
+    assert (tmp_path / "a" / "x.json").read_text() == '{"a": 2, "b": "ü"}\n' and files.load_json(path) == {"a": 2, "b": "ü"}
+    assert [p.name for p in (tmp_path / "a").iterdir()] == ["x.json"]
+    (tmp_path / "list.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        files.load_json(str(tmp_path / "list.json"))
+
+
+def test_lyrics_source_and_mode(tmp_path):
+    (tmp_path / "l.txt").write_bytes(b"\xef\xbb\xbfalfa")
+    assert files.lyrics_and_mode(None, str(tmp_path / "l.txt"), None) == ("alfa", "lyrics-first")
+    assert files.lyrics_and_mode(None, None, None) == (None, "asr") and files.lyrics_and_mode("", None, "lyrics-first") == ("", "lyrics-first")
+    for bad in (("a", "b", None), (None, None, "lyrics-first"), ("a", None, "asr")):
+        with pytest.raises(ValueError):
+            files.lyrics_and_mode(*bad)
+
+
+def test_inputs_are_discovered(spark, tmp_path):
+    for name in ("a/y.mp3", "a/x.mp3", "a/x.pt.vtt", "a/x.pt-orig.vtt", "b/z.pt.vtt", "c/w.mp3", "d/v.mp3", "d/v.en.vtt"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"x")
+    (tmp_path / "m.jsonl").write_text('{"id":"a","title":"t"}\n{"id":"b"}\n\n{"id":"d","duration":2}\n')
+    got = files.discover(spark, str(tmp_path / "in"), str(tmp_path / "m.jsonl")).orderBy("seen").collect()
+    ends = [(r.id, r.title, r.duration, r.audio_path.rsplit("/", 1)[1], r.caption_path and r.caption_path.rsplit("/", 1)[1]) for r in got]
+    assert ends == [("a", "t", 0.0, "x.mp3", "x.pt-orig.vtt"), ("d", "d", 2.0, "v.mp3", None)]
+
+
+def test_old_results_are_kept(tmp_path):
+    for name in ("report.md", "x.bin", "a/one.slja", "a/consensus-report.md", "a/other.md", "b/two.slja"):
+        (tmp_path / "old" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "old" / name).write_text(name)
+    assert files.snapshot(str(tmp_path / "old"), ["a", "missing"], str(tmp_path / "kept")) == ["report.md", "a/consensus-report.md", "a/one.slja"]
+    assert (tmp_path / "kept" / "a" / "one.slja").read_text() == "a/one.slja"
+    assert files.snapshot(str(tmp_path / "none"), [], str(tmp_path / "kept")) == []
+
+
 def test_runs_are_immutable(spark, tmp_path):
     df = spark.range(3)
     files.write_run(df, str(tmp_path), 1, "r1")
+    assert files.load_json(str(tmp_path / "manifests" / "phase-1-r1.json"))["rows"] == 3
     with pytest.raises(Exception, match="exists"):
         files.write_run(df, str(tmp_path), 1, "r1")
     assert files.tree_size(spark, str(tmp_path)).first().bytes > 0

@@ -33,6 +33,13 @@ def compared(baseline: DataFrame, phase: DataFrame, key: str) -> DataFrame:
     return b.join(p, key, "full_outer").withColumn("complete", F.col("b_slide_count").isNotNull() & F.col("p_slide_count").isNotNull())
 
 
+def with_optional(rows: DataFrame) -> DataFrame:
+    """Rows of ``b_*`` and ``p_*`` metrics as ``compared`` gives them, where one aggregation made both sides."""
+    extra = {"baseline_similarity": "double", "phase_similarity": "double", **RUN_COSTS}
+    out = rows.select(*rows.columns, *(F.lit(None).cast(t).alias(n) for n, t in extra.items() if n not in rows.columns))
+    return out.withColumn("complete", F.col("b_slide_count").isNotNull() & F.col("p_slide_count").isNotNull())
+
+
 def comparable(field: str) -> Column:
     """The baseline's count, or what it would be with hard wrapping if that is more."""
     raw, wrapped = F.col(f"b_{field}_count"), F.col(f"b_hard_wrapped_{field}_count")

@@ -25,6 +25,29 @@ def consecutive(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
     return rows.withColumn("span", F.col(index) - F.row_number().over(Window.partitionBy(*keys).orderBy(index)))
 
 
+#: Indexes of a bucket: runs are found within buckets first, so a key of many rows is no single task.
+BUCKET = 100_000
+
+
+def consecutive_spans(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """(keys, first, last, n) of each run of consecutive indexes: runs within buckets of indexes, joined where they meet at a border."""
+    bucket = F.floor(F.col(index) / BUCKET)
+    within = consecutive(rows.select(*keys, index, bucket.alias("bucket")), [*keys, "bucket"], index)
+    pieces = within.groupBy(*keys, "bucket", "span").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count(F.lit(1)).alias("n"))
+    # a run that begins a bucket goes on from one that ends the bucket before; inner runs are whole
+    begins, ends = F.col("first") == F.col("bucket") * BUCKET, F.col("last") == (F.col("bucket") + 1) * BUCKET - 1
+    whole = pieces.where(~(begins | ends)).select(*keys, "first", "last", "n")
+    w = Window.partitionBy(*keys).orderBy("first")
+    at_border = pieces.where(begins | ends).withColumn("fresh", F.coalesce(F.col("first") != F.lag("last").over(w) + 1, F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(w))
+    return whole.unionByName(at_border.groupBy(*keys, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("run"))
+
+
+def first_spans(spans: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The first ``k`` spans of each key with their rank; tasks rank their own first, so a key moves ``k`` rows a task."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("first"))
+    return spans.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """(keys, run, value, first, last, n): runs of equal values; any other value between parts equal ones."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -44,11 +44,47 @@ def retimed_words(docs: DataFrame, duration: Column, key: str = "doc_id", text:
 
 
 def validated(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that keep the invariants of a word, and the others."""
-    good = F.coalesce((F.trim("text") != "") & (F.col("start") >= 0) & (F.col("end") >= F.col("start")), F.lit(False))
+    """Rows that keep the invariants of a word (text, start not below 0, end not before start, parent not below 0), and the others."""
+    parent = F.col("parent_word_idx") >= 0 if "parent_word_idx" in words.columns else F.lit(True)
+    good = F.coalesce((F.trim("text") != "") & (F.col("start") >= 0) & (F.col("end") >= F.col("start")) & F.coalesce(parent, F.lit(True)), F.lit(False))
     return words.where(good), words.where(~good)
 
 
+def candidate_words(words: DataFrame, keys: list[str], source: str) -> DataFrame:
+    """A transcript as a candidate: words with letters only, tagged with ``source``, numbered by (start, end) and, of equals, as they came.
+
+    ``duration`` is the last end, the declared one, or a second, whichever is most. ``words``: (keys, word_idx, text, start, end[, duration]).
+    """
+    declared = F.col("duration") if "duration" in words.columns else F.lit(0.0)
+    w, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("start", "end", "word_idx")
+    kept = validated(words)[0].where(X.has_letter("text")).withColumn("duration", F.greatest(F.max("end").over(w), F.coalesce(F.max(declared).over(w), F.lit(0.0)), F.lit(1.0)))
+    return kept.withColumn("word_idx", F.row_number().over(order) - 1).select(*keys, "word_idx", "text", "start", "end", F.lit(source).alias("source"), "duration")
+
+
+def line_words(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, section_index, line_index, pos, text, start, end): the aligned words of every lyric line, or its text's words at a fixed step.
+
+    ``lines``: (keys, section_index, line_index, line_type, text, section_start, words array<struct<text, start, end>>).
+    A line with fewer aligned words than its text has counts as not aligned; it begins with its first aligned
+    word, or with its section. Other kinds of lines, and empty ones, have no words.
+    """
+    text = X.archive_value("text")
+    clean = lines.withColumn("text", text).where((F.col("line_type") == "lyric") & (F.col("text") != "")).withColumn("parts", X.words("text"))
+    aligned = (F.size("words") > 0) & (F.size("words") >= F.size("parts"))
+    begins = F.coalesce(F.get(F.col("words"), F.lit(0))["start"], F.col("section_start"), F.lit(0.0))
+    spread = F.transform("parts", lambda x, k: F.struct(x.alias("text"), (begins + k * 0.5).alias("start"), (begins + k * 0.5 + 0.4).alias("end")))
+    own = F.filter(F.transform("words", lambda x: F.struct(X.archive_value(x["text"]).alias("text"), x["start"].alias("start"), F.coalesce(x["end"], x["start"]).alias("end"))), lambda x: x["text"] != "")
+    return clean.select(*keys, "section_index", "line_index", F.posexplode(F.when(F.coalesce(aligned, F.lit(False)), own).otherwise(spread)).alias("pos", "w")).select(*keys, "section_index", "line_index", "pos", "w.*")
+
+
+def alignment_targets(words: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, word_idx, targets): letters of every word as numbers; words without any are left out but keep their index. A key with none raises."""
+    made = words.select(*keys, "word_idx", X.ascii_letters("text").alias("letters"))
+    made = made.withColumn("some", F.max(F.col("letters") != "").over(Window.partitionBy(*keys)))
+    checked = made.where(F.assert_true("some", F.lit("no word can be aligned")).isNull()).where("letters <> ''")
+    return checked.select(*keys, "word_idx", F.transform(F.split("letters", ""), lambda c: F.ascii(c) - 96).alias("targets"))
+
+
 def islands(words: DataFrame, keys: list[str], hard: Column, order: list[str]) -> DataFrame:
     """Adds ``island``: it grows where ``hard`` (which may use lag through ``prev_*`` columns) is true."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -138,7 +174,7 @@ def deduplicated_words(words: DataFrame, keys: list[str], window: float = 0.25,
 
 
 def document(tokens: DataFrame, key: str) -> DataFrame:
-    """(key, sections): words nested in lines and sections, each with its first start and last end.
+    """(key, sections): words nested in lines and sections, each with its first start and last end. ``flattened`` undoes it.
 
     ``tokens``: (key, section_index, line_index, word_idx, text, start, end).
     """
@@ -148,3 +184,9 @@ def document(tokens: DataFrame, key: str) -> DataFrame:
     line = F.struct("line_index", F.lit("lyric").alias("line_type"), text.alias("text"), "start", "end", "words")
     sections = lines.groupBy(key, "section_index").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.min("start").alias("start"), F.max("end").alias("end"))
     return sections.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section_index", "start", "end", "lines"))).alias("sections"))
+
+
+def flattened(documents: DataFrame, key: str) -> DataFrame:
+    """The lines of nested documents, as ``line_words`` takes them."""
+    sections = documents.select(key, F.explode("sections").alias("s")).select(key, "s.section_index", F.col("s.start").alias("section_start"), F.explode("s.lines").alias("l"))
+    return sections.select(key, "section_index", "section_start", "l.line_index", "l.line_type", "l.text", "l.words")

@@ -92,8 +92,8 @@ def caption_overlap(spark, d):
 )
 def index_spans(spark, d):
     missing = read(spark, d, "documents").select("lang", "doc_id").join(read(spark, d, "labels"), "doc_id", "left_anti")
-    spans = W.consecutive(missing, ["lang"], "doc_id").groupBy("lang", "span").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    return J.ranked(spans.drop("span"), ["lang"], [F.col("first")]).where("rank <= 5")
+    spans = W.consecutive_spans(missing, ["lang"], "doc_id")
+    return W.first_spans(spans, ["lang"], 5)
 
 
 @query(
@@ -223,25 +223,27 @@ def score_arithmetic(spark, d):
     return li.select("l_orderkey", "l_linenumber", F.round(S.coverage_penalty(F.col("l_quantity") / 20.0), 9).alias("penalty"), S.line_score(F.col("l_linenumber") * 8).alias("line_score"))
 
 
-def archive_metrics(spark, d, flag: str):
-    """Line items as an archive's metrics: a supplier is a video, the return flag a side."""
-    li = read(spark, d, "lineitem").where(F.col("l_returnflag") == flag)
+def _archive_measures() -> dict:
     q = F.col("l_quantity").cast("long")
-    return li.groupBy(F.col("l_suppkey").alias("video")).agg(
-        F.count(F.lit(1)).alias("slide_count"),
-        F.sum(F.col("l_linenumber").cast("long")).alias("line_count"),
-        F.count_if(q > 48).alias("over_hard"),
-        F.count_if(q > 35).alias("over_target"),
-        F.count_if(F.col("l_tax") > 0.07).alias("aux_words"),
-        F.count_if(F.col("l_discount") < 0.005).alias("fast_transitions"),
-        F.sum(q).alias("text_words"),
-        F.sum(F.greatest(F.col("l_linenumber").cast("long"), F.ceil(q / 34))).alias("hard_wrapped_line_count"),
-        F.count_if(q > 0).alias("hard_wrapped_slide_count"),
-    )
+    return {
+        "slide_count": F.lit(1),
+        "line_count": F.col("l_linenumber").cast("long"),
+        "over_hard": (q > 48).cast("long"),
+        "over_target": (q > 35).cast("long"),
+        "aux_words": (F.col("l_tax") > 0.07).cast("long"),
+        "fast_transitions": (F.col("l_discount") < 0.005).cast("long"),
+        "text_words": q,
+        "hard_wrapped_line_count": F.greatest(F.col("l_linenumber").cast("long"), F.ceil(q / 34)),
+        "hard_wrapped_slide_count": (q > 0).cast("long"),
+    }
 
 
 def comparison(spark, d):
-    return G.compared(archive_metrics(spark, d, "A"), archive_metrics(spark, d, "R"), "video")
+    """Line items as archives: a supplier is a video, the return flag a side. Both sides are in one table, so one aggregation compares them."""
+    side = F.when(F.col("l_returnflag") == "A", "b").when(F.col("l_returnflag") == "R", "p")
+    sums = [F.sum(F.when(F.col("side") == s, m)).cast("long").alias(f"{s}_{n}") for s in "bp" for n, m in _archive_measures().items()]
+    by = read(spark, d, "lineitem").withColumn("side", side).where("side is not null").groupBy(F.col("l_suppkey").alias("video")).agg(*sums)
+    return G.with_optional(by)
 
 
 def _side(s: str, flag: str) -> str:
@@ -282,11 +284,18 @@ _REFERENCES = """SELECT video, CASE WHEN p_slide_count IS NOT NULL AND video % 5
 )
 def batch_gate_with_references(spark, d):
     """The whole gate, with stand-ins for similarities to expected texts and for the costs of a run."""
-    v = F.col("video")
-    base = archive_metrics(spark, d, "A").withColumn("reference_similarity", F.when(v % 3 != 0, 0.8 + v % 7 / 64.0))
-    phase = archive_metrics(spark, d, "R").withColumn("reference_similarity", F.when(v % 5 != 0, 0.82 + v % 8 / 64.0))
-    costs = phase.withColumns({"elapsed_seconds": F.col("text_words") / 4.0, "output_bytes": F.col("text_words") * 3, "cache_bytes_before": F.col("slide_count") * 100, "cache_bytes_after": F.col("line_count") * 100})
-    gate = G.batch_gate(G.compared(base, costs, "video"), read(spark, d, "supplier").count())
+    v, has = F.col("video"), lambda s: F.col(f"{s}_slide_count").isNotNull()
+    rows = comparison(spark, d).withColumns(
+        {
+            "baseline_similarity": F.when(has("b") & (v % 3 != 0), 0.8 + v % 7 / 64.0),
+            "phase_similarity": F.when(has("p") & (v % 5 != 0), 0.82 + v % 8 / 64.0),
+            "elapsed_seconds": F.col("p_text_words") / 4.0,
+            "output_bytes": F.col("p_text_words") * 3,
+            "cache_bytes_before": F.col("p_slide_count") * 100,
+            "cache_bytes_after": F.col("p_line_count") * 100,
+        }
+    )
+    gate = G.batch_gate(rows, read(spark, d, "supplier").count())
     return gate.withColumn("failures", F.array_join("failures", "; "))
 
 
@@ -408,8 +417,31 @@ def span_attach(spark, d):
 
 @query(f"WITH {WORDS}, l AS (SELECT doc_id, word_idx, regexp_replace(strip_accents(lower(text)), '[^a-z]', '', 'g') AS w FROM words) SELECT doc_id, word_idx, array_to_string(list_transform(string_split(w, ''), lambda c: (ascii(c) - 96)::VARCHAR), ' ') AS targets FROM l WHERE w <> ''")
 def alignment_targets(spark, d):
-    w = V.timed_words(read(spark, d, "documents")).select("doc_id", "word_idx", X.ascii_letters("text").alias("w")).where("w <> ''")
-    return w.select("doc_id", "word_idx", F.array_join(F.transform(F.split("w", ""), lambda c: (F.ascii(c) - 96).cast("string")), " ").alias("targets"))
+    targets = V.alignment_targets(V.timed_words(read(spark, d, "documents")), ["doc_id"])
+    return targets.select("doc_id", "word_idx", F.array_join(F.transform("targets", lambda t: t.cast("string")), " ").alias("targets"))
+
+
+@query(
+    r"""WITH l AS (SELECT conv_id, turn, trim(regexp_replace(translate(text, '|', ' '), '\s+', ' ', 'g')) AS line FROM conversations WHERE role <> 'system'), p AS (SELECT *, string_split(line, ' ') AS parts FROM l WHERE line <> '')
+    SELECT conv_id, turn AS line_index, i - 1 AS pos, parts[i] AS text, CASE WHEN turn % 3 = 0 THEN turn * 7 + (i - 1) * 0.25::DOUBLE WHEN turn % 3 = 1 THEN turn * 7 + (i - 1) * 0.5::DOUBLE ELSE (i - 1) * 0.5::DOUBLE END AS start,
+      CASE WHEN turn % 3 = 0 THEN turn * 7 + (i - 1) * 0.25::DOUBLE + 0.2::DOUBLE WHEN turn % 3 = 1 THEN turn * 7 + (i - 1) * 0.5::DOUBLE + 0.4::DOUBLE ELSE (i - 1) * 0.5::DOUBLE + 0.4::DOUBLE END AS "end" FROM p, unnest(range(1, len(parts) + 1)) AS t(i)"""
+)
+def line_words(spark, d):
+    """Turns as lines: every third with all its words aligned, the next with the first word only, the others with none."""
+    c = read(spark, d, "conversations")
+    parts = X.words(X.archive_value("text"))
+    at = lambda k: F.col("turn") * 7 + k * 0.25
+    words = F.transform(parts, lambda w, k: F.struct(w.alias("text"), at(k).alias("start"), (at(k) + 0.2).alias("end")))
+    lines = c.select("conv_id", F.lit(0).alias("section_index"), F.col("turn").alias("line_index"), F.when(F.col("role") == "system", "comment").otherwise("lyric").alias("line_type"), "text", F.lit(0.0).alias("section_start"), F.when(F.col("turn") % 3 == 0, words).when((F.col("turn") % 3 == 1) & (F.size(parts) > 1), F.slice(words, 1, 1)).when(F.col("turn") % 3 == 1, F.array(F.struct(F.get(parts, F.lit(0)).alias("text"), at(F.lit(0)).alias("start"), (at(F.lit(0)) + 0.4).alias("end")))).alias("words"))
+    return V.line_words(lines, ["conv_id"]).drop("section_index")
+
+
+@query(
+    f"""WITH {EV}, k AS (SELECT * FROM ev WHERE start >= 0 AND "end" >= start AND trim(source) <> '' AND regexp_matches(source, '[\\p{{L}}\\p{{N}}]'))
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start, "end", idx) - 1 AS word_idx, source AS text, start, "end", 'medium-vocals' AS source, greatest(max("end") OVER (PARTITION BY user_id), 1.0) AS duration FROM k"""
+)
+def candidate_words(spark, d):
+    return V.candidate_words(ev(spark, d).select("user_id", F.col("idx").alias("word_idx"), F.col("source").alias("text"), "start", "end"), ["user_id"], "medium-vocals")
 
 
 @query("SELECT event_id, event_type AS text, value AS start, coalesce(CASE WHEN event_id % 2 = 0 THEN 0.5 END, 1.0)::DOUBLE AS confidence, 'unknown' AS source FROM events")

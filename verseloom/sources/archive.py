@@ -2,7 +2,7 @@
 
 ``spark.read.format("slide_archive").load(path)`` gives a row a slide of every archive under a path;
 ``df.write.format("slide_archive").mode("append").save(folder)`` writes one archive for each row of
-(name, lja, audio binary). Files are opened by their URI, each task its own, and written under a
+(name, lja, audio binary); the audio gets the name that the section text gives it. Files are opened by their URI, each task its own, and written under a
 temporary name that a rename replaces, so no reader sees half an archive.
 """
 
@@ -69,11 +69,17 @@ def slides_of_archive(data: bytes) -> tuple[str, str, list[tuple[list[str], floa
     return title, audio, slides
 
 
-def archive_bytes(lja: str, audio_name: str, audio: bytes) -> bytes:
+def audio_member(lja: str) -> str:
+    """The audio file that a section text names."""
+    named = (v.get("url_musica") or v.get("audio") for name, v in sections(lja) if name == "Geral")
+    return next((n for n in named if n), "audio\\audio.mp3")
+
+
+def archive_bytes(lja: str, audio: bytes) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr(MEMBER, lja.encode("cp1252", errors="replace"))
-        z.writestr(f"audio\\{audio_name}", audio)
+        z.writestr(audio_member(lja), audio)
     return out.getvalue()
 
 
@@ -114,7 +120,7 @@ class _Writer(DataSourceWriter):
         for r in rows:
             temporary = f"{root}/.{uuid.uuid4().hex}"
             with system.open_output_stream(temporary, compression=None) as f:
-                f.write(archive_bytes(r.lja, "audio.mp3", bytes(r.audio or b"")))
+                f.write(archive_bytes(r.lja, bytes(r.audio or b"")))
             system.move(temporary, f"{root}/{r.name}{SUFFIX}")
         return WriterCommitMessage()
 
