@@ -56,13 +56,15 @@ def test_attention_gradient():
 
     rng = np.random.default_rng(0)
     m = quality.AttentionMil.fresh(np.zeros(5), np.ones(5), 0.1)
-    x, first, y = rng.normal(size=(9, 5)), np.array([0, 2, 6]), np.array([1.0, 0.0, 1.0])
-    loss = lambda: -np.mean(y * np.log(m.forward(x, first)[-1]) + (1 - y) * np.log(1 - m.forward(x, first)[-1]))
-    g = m.gradient(x, first, y)
+    words = [rng.integers(0, quality.BUCKETS, n).astype(np.uint16) for n in (70, 200, 130, 0)]
+    bags = quality.joined([(rng.normal(size=(max(1, -(-len(w) // quality.PASSAGE)), 5)), w) for w in words])
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    loss = lambda: -np.mean(y * np.log(m.forward(bags)[-1]) + (1 - y) * np.log(1 - m.forward(bags)[-1]))
+    g = m.gradient(bags, y)
     for name in m.NAMES:
         p = m.p[name]
         for _ in range(4):
-            at = tuple(rng.integers(0, n) for n in p.shape)
+            at = tuple(rng.integers(0, n) for n in p.shape) if name != "words" else (int(rng.choice(words[0])), int(rng.integers(0, p.shape[1])))
             kept, eps = p[at], 1e-5
             p[at] = kept + eps
             up = loss()
@@ -72,6 +74,58 @@ def test_attention_gradient():
             assert g[name][at] == pytest.approx((up - down) / (2 * eps), abs=1e-5)
 
 
+def test_quality_scores_against_brute_force(spark):
+    """Every score is the plain forward pass: passages, features and vectors, gates, attention and the logistic layer, one number at a time."""
+    import math
+
+    import numpy as np
+
+    rng, docs = random.Random(3), []
+    for i in range(60):
+        docs.append((i, sentence(rng, rng.randint(0, 300)) if i % 3 else sentence(rng, 40).upper() + "!! | " * 30))
+    docs += [(60, None), (61, "")]
+    model = quality.train(texts(spark, docs), spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int"))
+    p = {k: v.tolist() for k, v in model.p.items()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    for r in quality.with_score(texts(spark, docs), model).collect():
+        words, hidden, energy = (r.text or "").split(), [], []
+        for lo in range(0, max(1, len(words)), quality.PASSAGE):
+            own = words[lo : lo + quality.PASSAGE]
+            x = [(float(np.float32(v)) - m) / s for v, m, s in zip(quality.passage_features(own), p["mean"], p["std"])]
+            vectors = [p["words"][int(quality.token_hashes([w])[0]) * quality.BUCKETS >> 64] for w in own]
+            mean = [sum(v[j] for v in vectors) / max(1, len(own)) for j in range(quality.HIDDEN)]
+            h = [max(0.0, dot(p["w1"][j], x) + mean[j] + p["b1"][j]) for j in range(quality.HIDDEN)]
+            hidden.append(h)
+            energy.append(sum(p["w"][j] * math.tanh(dot(p["v"][j], h)) * sig(dot(p["u"][j], h)) for j in range(quality.GATE)))
+        share = [math.exp(e - max(energy)) for e in energy]
+        z = [sum(a * h[j] for a, h in zip(share, hidden)) / sum(share) for j in range(quality.HIDDEN)]
+        assert r.score == pytest.approx(sig(dot(z, p["out"]) + p["bias"][0]), abs=1e-9)
+
+
+def test_words_alone_decide_where_shapes_agree(spark):
+    rng = random.Random(6)
+    kinds = [["tolan", "meris", "dovek", "salit"], ["bakun", "firom", "netal", "gosil"]]
+    docs = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(50))) for i in range(400)]
+    model = quality.train(texts(spark, docs), spark.createDataFrame([(i, i % 2, 0) for i, _ in docs], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in quality.with_score(texts(spark, docs), model).collect()}
+    assert all((got[i] >= 0.5) == (i % 2) for i in got)
+
+
+def test_equal_texts_with_clashing_labels_train_alike(spark):
+    from verseloom.llm.labelled import training_texts
+
+    docs = texts(spark, [(i, ["same", "tie", "other"][i % 3]) for i in range(30)])
+    labels = spark.createDataFrame([(i, int(i < 24 if i % 3 == 0 else i < 15), 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    got = sorted(map(tuple, training_texts(docs, labels, "quality", 1_000_003, -1, 100).collect()))
+    assert got == sorted(map(tuple, training_texts(docs.repartition(7), labels.repartition(5), "quality", 1_000_003, -1, 100).collect())) == [("other", 1), ("same", 1), ("tie", 1)]
+
+
+def test_long_labelled_texts_are_learnt_whole():
+    shapes, words = quality.bag("w " * 64_000)
+    assert len(shapes) == 1_000 and len(words) == 64_000
+
+
 @pytest.mark.parametrize("text, word", [("you ID10T", "idiot"), ("ѕtuрid man", "stupid"), ("M0R0N!!", "moron"), ("trásh###", "trash"), ("ｃｌｏｗｎ", "clown"), ("id​iot", "idiot"), ("$tupid", "stupid")])
 def test_folding(text, word):
     assert f" {word.replace('l', 'i')} " in toxicity.fold(text)
@@ -83,6 +137,35 @@ def test_exceptions_cover_hits():
     assert [(w, n) for _, _, w, n in lex.hits(toxicity.fold("Clown, trash trasher clown"))] == [(3.0, 2), (2.0, 1), (1.0, 1)]
 
 
+def brute_toxicity(lex, text):
+    """The score by looking every entry up at every place."""
+    import math
+
+    folded = toxicity.fold(text)
+    covered = [(k, k + len(e) - 1) for e in lex.exceptions for k in range(len(folded)) if folded.startswith(e, k)]
+    words = {}
+    for k in range(len(folded)):
+        found = [e for e in lex.entries if folded.startswith(e, k)]
+        if found and not any(a <= k < b for a, b in covered):
+            word, weight = folded[k : folded.find(" ", k + 1)], lex.entries[max(found, key=len)]
+            words[word] = (weight, words.get(word, (0, 0))[1] + 1)
+    n = folded.count(" ") - 1
+    total, often = sum(w for w, _ in words.values()), sum(w * c for w, c in words.values())
+    x = [math.log1p(total), total / (n + 20) * 10, math.log1p(len(words)), max((w for w, _ in words.values()), default=0.0), total / math.sqrt(n + 20), math.log1p(often), often / (n + 20)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(lex.weights, x)) - lex.weights[-1]))
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    rng = random.Random(5)
+    bad = ["zorgon", "blarfing", "blarfed", "qx", "w" * 60, "supercalifragil", "supercalifragous"]
+    docs = [(i, sentence(rng, rng.randint(0, 60)) + (" " + " ".join(rng.sample(bad, 3)) + " trash can zorgon trophy" if i % 4 == 0 else " zorgon trophy" if i % 4 == 1 else "")) for i in range(600)]
+    lex = toxicity.train(texts(spark, docs), spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in docs], "doc_id long, quality int, toxic int"))
+    assert {" qx ", f" {'w' * 60} "} <= set(lex.entries) and any(e.startswith(" biarf") for e in lex.entries)
+    odd = [(1000, None), (1001, ""), (1002, " Z0RG0N! zorgon,zorgon"), (1003, "trash can qx qx"), (1004, "zorgonzorgon blarf" + "e" * 500)]
+    for r in toxicity.with_score(texts(spark, docs[:80] + odd), lex).collect():
+        assert r.score == pytest.approx(brute_toxicity(lex, r.text or ""), abs=1e-9)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(1)
     rows, bad = [], set()
