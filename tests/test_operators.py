@@ -486,6 +486,16 @@ def test_consensus_transcript_at_risk(spark):
     assert (r.source, r.n_words, r.reason) == ("turbo-vocals", 4, got[0].reason)
 
 
+def test_sources_that_fail_leave_the_others_be(spark):
+    words = sung(spark, ("turbo-vocals", [("alfa", 0.0, 0.4)]), ("medium-vocals", [("...", 0.0, 0.4)]), ("other", [("x", 0.0, 0.4)]))
+    failures = spark.createDataFrame([(7, "turbo-original", "out of memory")], "song int, source string, reason string")
+    usable, lost = C.phase_one(words, failures, "song", ("turbo-vocals", "medium-vocals", "turbo-original"))
+    assert [(r.source, r.text) for r in usable.collect()] == [("turbo-vocals", "alfa")]
+    assert sorted((r.source, r.reason) for r in lost.collect()) == [("medium-vocals", "no words"), ("turbo-original", "out of memory")]
+    with pytest.raises(Exception, match="no transcript source"):
+        C.phase_one(words, failures, "song", ("medium-vocals",))[1].collect()
+
+
 def test_risk_reasons_and_repeated_words(spark):
     def reasons(*decisions):
         rows = [(1, low, support, cands, over, mid) for low, support, cands, over, mid in decisions]

@@ -122,6 +122,33 @@ def test_gate_report(spark):
     assert reports.duration(3725) == "1h02m05s"
 
 
+def test_consensus_report(spark):
+    decisions = spark.createDataFrame([(7, 0, 1.0, 2.5, "a", "alfa|beta", 91.0, 2, 2, ""), (7, 1, 3.0, 4.0, "b", "gama", 40.0, 1, 3, "score 40.0 below threshold")], "song int, idx int, start double, end double, source string, text string, score double, support int, n_sources int, doubt string")
+    words = spark.createDataFrame([(7, 1, "gama", "phrase-consensus", ""), (7, 0, "alfa", "phrase-consensus", "")], "song int, word_idx int, text string, mode string, reason string")
+    text = reports.consensus_report(decisions, spark.createDataFrame([(7, "c", "no words")], "song int, source string, reason string"), spark.createDataFrame([(7, 3)], "song int, slide_count int"), words, "song")
+    for part in ("| a | 1 |", "| 7 | c | no words |", "| 7 | 3 |", "| 7 | phrase-consensus |  | 2 |", "| 7 | alfa gama |", "| 7 | 0 | 1.00-2.50 | a | 91.000 | 2 | 2 | alfa\\|beta |", "| 7 | 1 | score 40.0 below threshold | gama |"):
+        assert part in text, part
+
+
+def test_effort_report(spark):
+    runs = spark.createDataFrame([("a", 61.0, 0, 3 << 20, 1 << 20), ("b", 3600.0, 3 << 20, 3 << 20, 100)], "song string, elapsed_seconds double, cache_bytes_before long, cache_bytes_after long, output_bytes long")
+    text, data = reports.effort_report(runs, "song")
+    assert "- total elapsed: 1h01m01s" in text and "| a | 1m01s | 3.0 MiB | 1.0 MiB |" in text and "| b | 1h00m00s | 0 B | 100 B |" in text
+    assert json.loads(data)["cache_growth"] == 3 << 20
+    assert "- total elapsed: 0m00s" in reports.effort_report(runs.limit(0), "song")[0]
+
+
+def test_experiment_report_and_comparisons(spark, tmp_path):
+    matrix = spark.createDataFrame([("v", "s1", 2.0, 1), ("v", "s2", 1.0, 2)], "song string, strategy string, score double, rank int")
+    wins = spark.createDataFrame([("s1", 1)], "strategy string, wins int")
+    text = reports.experiment_report(matrix, matrix.where("rank = 1"), wins, spark.createDataFrame([(0.5,)], "mean double"), "song")
+    assert text.index("## Best by key") < text.index("| v | s2 | 1.000 | 2 |") < text.index("| s1 | 1 |") < text.index("| 0.500 |")
+    deltas = spark.createDataFrame([("a", "x", 1, 2, 1), ("b", "x", 1, None, None)], "video string, metric string, baseline int, phase int, delta int")
+    reports.write_comparisons(deltas, "video", str(tmp_path / "c"))
+    assert sorted(p.name for p in (tmp_path / "c").iterdir() if p.is_dir()) == ["video=a", "video=b"]
+    assert spark.read.json(str(tmp_path / "c")).count() == 2
+
+
 def test_report_has_all_rows(spark):
     lines = reports.markdown_table(spark.range(10_050).orderBy("id")).split("\n")
     assert lines[2:] == [f"| {k} |" for k in range(10_050)]
