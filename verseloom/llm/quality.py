@@ -164,7 +164,7 @@ class AttentionMil:
     def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> None:
         rng = np.random.default_rng(11)
         m, v = ({k: np.zeros_like(self.p[k]) for k in self.NAMES} for _ in range(2))
-        t, epochs = 0, max(EPOCHS, -(-STEPS * BATCH // len(bags)))
+        t, epochs = 0, max(EPOCHS, -(-STEPS // -(-len(bags) // BATCH)))
         for epoch in range(epochs):
             rate = 0.01 * 0.5 ** (4 * epoch // epochs)
             order = rng.permutation(len(bags))
