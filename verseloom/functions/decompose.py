@@ -39,9 +39,13 @@ def _class_of_many() -> str:
 
 
 def without_marks(x: Column) -> Column:
-    """Marks go, letters become their base letters, ligatures and other compatibility characters what they stand for."""
+    """Marks go, letters become their base letters, ligatures and other compatibility characters what they stand for.
+
+    Texts of ASCII alone, as most words are, stay as they are.
+    """
     one, base, many = tables()
     plain = F.translate(x, one, base)
     table = F.create_map(*(F.lit(v) for pair in many.items() for v in pair))
     spelt = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.regexp_replace(F.when(plain.rlike(_class_of_many()), spelt).otherwise(plain), r"\p{M}+", "")
+    decomposed = F.regexp_replace(F.when(plain.rlike(_class_of_many()), spelt).otherwise(plain), r"\p{M}+", "")
+    return F.when(x.rlike(r"[^\x00-\x7F]"), decomposed).otherwise(x)
