@@ -72,10 +72,14 @@ def collapsed_slides(slides: DataFrame, keys: list[str]) -> DataFrame:
     return merged.withColumn("aux_text", F.when(F.col("n") > 1, F.format_string("(%dx)", "n")).otherwise(F.coalesce("aux", F.lit("")))).drop("aux", "run")
 
 
+def _run_cost() -> Column:
+    return F.when(F.col("n_tokens") <= 2, 0.0).otherwise(F.col("repeats") * 8.0 + F.greatest(F.col("longest") - 2, F.lit(0)) * 20.0)
+
+
 def run_penalty(tokens: DataFrame, keys: list[str], order: list[str], value: str = "form") -> DataFrame:
     """8 for each adjacent repeat and 20 for each step of the longest run past two; nothing up to two tokens."""
     by_run = runs(tokens, keys, order, value).groupBy(*keys).agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") - 1).alias("repeats"), F.max("n").alias("longest"))
-    return by_run.withColumn("penalty", F.when(F.col("n_tokens") <= 2, 0.0).otherwise(F.col("repeats") * 8.0 + F.greatest(F.col("longest") - 2, F.lit(0)) * 20.0))
+    return by_run.withColumn("penalty", _run_cost())
 
 
 def variety_penalty(n: Column, forms: Column, pairs: Column, distinct_pairs: Column) -> Column:
@@ -83,18 +87,16 @@ def variety_penalty(n: Column, forms: Column, pairs: Column, distinct_pairs: Col
     return F.when(n <= 2, 0.0).otherwise((1 - forms / n) * 18.0 + (pairs - distinct_pairs) * 8.0)
 
 
-def variety(tokens: DataFrame, keys: list[str], order: list[str], value: str = "form") -> DataFrame:
-    """(keys, variety): pairs are counted first, then forms, then keys, all on one partitioning by the keys."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    pairs = tokens.withColumn("next", F.lead(value).over(w)).groupBy(*keys, value, "next").agg(F.count(F.lit(1)).alias("n"))
-    forms = pairs.groupBy(*keys, value).agg(F.sum("n").alias("n"), F.count("next").alias("distinct_pairs"), F.sum(F.when(F.col("next").isNotNull(), F.col("n"))).alias("pairs"))
-    by = forms.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"), F.sum("distinct_pairs").alias("distinct_pairs"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
-    return by.select(*keys, variety_penalty(F.col("n"), F.col("forms"), F.col("pairs"), F.col("distinct_pairs")).alias("variety"))
-
-
 def repetition(tokens: DataFrame, keys: list[str], order: list[str], value: str = "form") -> DataFrame:
-    """Both repetition penalties of each key."""
-    return run_penalty(tokens, keys, order, value).join(variety(tokens, keys, order, value), keys)
+    """Both repetition penalties of each key: one sort, then sums by pair of neighbours, by form and by key on one partitioning."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    c = F.col
+    placed = tokens.select(*keys, *order, value, F.lead(value).over(w).alias("next"), F.coalesce(c(value) != F.lag(value).over(w), F.lit(True)).alias("fresh"), F.row_number().over(w).alias("place"))
+    placed = placed.withColumn("length", c("place") - F.max(F.when(c("fresh"), c("place"))).over(w) + 1)
+    pairs = placed.groupBy(*keys, value, "next").agg(F.count(F.lit(1)).alias("n"), F.count_if(~c("fresh")).alias("repeats"), F.max("length").alias("longest"))
+    forms = pairs.groupBy(*keys, value).agg(F.sum("n").alias("n"), F.sum("repeats").alias("repeats"), F.max("longest").alias("longest"), F.count("next").alias("distinct_pairs"), F.coalesce(F.sum(F.when(c("next").isNotNull(), c("n"))), F.lit(0)).alias("pairs"))
+    by = forms.groupBy(*keys).agg(F.sum("n").alias("n_tokens"), F.sum("repeats").alias("repeats"), F.max("longest").cast("long").alias("longest"), F.count(F.lit(1)).alias("forms"), F.sum("distinct_pairs").alias("distinct_pairs"), F.sum("pairs").alias("pairs"))
+    return by.select(*keys, "n_tokens", "repeats", "longest", _run_cost().alias("penalty"), variety_penalty(c("n_tokens"), c("forms"), c("pairs"), c("distinct_pairs")).alias("variety"))
 
 
 def neighbours(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
