@@ -41,3 +41,19 @@ def test_query_without_sql_runs(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def same_on(spark, tmp_path, name, orders):
+    """Whether a query gives its SQL's rows on these orders (o_orderkey, o_custkey, o_totalprice, o_orderpriority)."""
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got, want = plans.QUERIES[name](spark, str(tmp_path)).toPandas(), c.execute(plans.SQL[name]).df()
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["candidate_matrix", "best_candidate"])
+def test_equal_scores_tie_as_in_sql(spark, tmp_path, name):
+    """Pairs whose scores are equal in the SQL's decimals; 0.8 as a binary fraction told them apart."""
+    pairs = {45042: ((473343, "2-HIGH"), (495480, "1-URGENT")), 38753: ((312810, "4-NOT SPECIFIED"), (418734, "2-HIGH")), 106509: ((1165451, "5-LOW"), (1146371, "5-LOW"))}
+    same_on(spark, tmp_path, name, [(key, video, 1.0, strategy) for video, pair in pairs.items() for key, strategy in pair])

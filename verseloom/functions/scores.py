@@ -30,6 +30,6 @@ def line_score(chars: Column) -> Column:
 
 
 def candidate_score(consensus: Column, caption: Column, hard: Column, aux: Column, fast: Column, over_target: Column, ratio: Column) -> Column:
-    """Score of a strategy's result; a caption, where there is one, outweighs agreement."""
+    """Score of a strategy's result; a caption, where there is one, outweighs agreement. 0.8 is taken exactly, as the SQL's decimals are: equal scores stay equal."""
     base = F.when(caption.isNull(), consensus * 100.0).otherwise(consensus * 45.0 + caption * 55.0)
-    return base - hard * 10.0 - aux * 0.8 - fast * 4.0 - F.greatest(F.lit(0.0), over_target - 0.30) * 40.0 - F.when(ratio.isNotNull() & ~ratio.between(0.65, 1.45), 15.0).otherwise(0.0)
+    return base - hard * 10.0 - aux * 8 / 10.0 - fast * 4.0 - F.greatest(F.lit(0.0), over_target - 0.30) * 40.0 - F.when(ratio.isNotNull() & ~ratio.between(0.65, 1.45), 15.0).otherwise(0.0)
