@@ -57,3 +57,9 @@ def test_equal_scores_tie_as_in_sql(spark, tmp_path, name):
     """Pairs whose scores are equal in the SQL's decimals; 0.8 as a binary fraction told them apart."""
     pairs = {45042: ((473343, "2-HIGH"), (495480, "1-URGENT")), 38753: ((312810, "4-NOT SPECIFIED"), (418734, "2-HIGH")), 106509: ((1165451, "5-LOW"), (1146371, "5-LOW"))}
     same_on(spark, tmp_path, name, [(key, video, 1.0, strategy) for video, pair in pairs.items() for key, strategy in pair])
+
+
+def test_halves_round_to_even_as_in_sql(spark, tmp_path):
+    """Prices whose sevenfold ends in a half, where rounding up shows in the text."""
+    prices = (27055.5, 29381.5, 69551.5, 0.5, 1.5, 1001.93)
+    same_on(spark, tmp_path, "display_formats", [(k, k, p, "x") for k, p in enumerate(prices)])

@@ -514,7 +514,7 @@ def nested_document(spark, d):
     CASE WHEN s >= 3600 THEN printf('%dh%02dm%02ds', s // 3600, (s // 60) % 60, s % 60) ELSE printf('%dm%02ds', (s // 60) % 60, s % 60) END AS effort FROM o"""
 )
 def display_formats(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 7).cast("long").alias("n"), F.floor(F.col("o_totalprice") / 10).alias("s"))
+    o = read(spark, d, "orders").select("o_orderkey", F.rint(F.col("o_totalprice") * 7).cast("long").alias("n"), F.floor(F.col("o_totalprice") / 10).alias("s"))
     return o.select("o_orderkey", C.bytes_text(F.col("n")).alias("bytes"), C.effort_text(F.col("s").cast("double")).alias("effort"))
 
 
