@@ -2,7 +2,8 @@
 
 Quality and toxicity drop the documents that they reject, exact and near dedup keep one document of
 each group, and packing lays what remains into sequences. All stages but the last return the columns of
-their input. Nulls, empty texts, repeated rows and empty tables are handled as each operator says.
+their input. A stage bounds what readers and writers of long texts hold in the JVM, whose heap may be 1 GB
+for eight tasks. Nulls, empty texts, repeated rows and empty tables are handled as each operator says.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from verseloom.llm import exact_dedup, near_dedup, packing, quality, toxicity
 from verseloom.llm.queries import BPE_FILE
 from verseloom.llm.shared import materialize
+from verseloom.runtime import bound_memory
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -21,25 +23,30 @@ def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
+    bound_memory(spark)
     model = quality.train(*_labelled(spark, sf_dir))
     return quality.with_score(docs, model, score_col="__quality").where(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
+    bound_memory(spark)
     lexicon = toxicity.train(*_labelled(spark, sf_dir))
     return toxicity.with_score(docs, lexicon, score_col="__toxicity").where(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_memory(spark)
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_memory(spark)
     return near_dedup.deduplicated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_memory(spark)
     return packing.pack(docs, BPE_FILE)
 
 

@@ -278,3 +278,24 @@ def test_query_equals_its_sql(spark, name):
     columns = sorted(want.columns)
     assert columns == sorted(got.columns)
     assert sorted(map(tuple, want[columns].astype(str).values)) == sorted(map(tuple, got[columns].astype(str).values))
+
+
+def test_stages_hold_little_of_long_texts(spark, tmp_path):
+    """Readers and writers are bounded, also for what the caller writes, and rows are not sorted with their texts; 8 tasks in a heap of 1 GB failed by it."""
+    import pyarrow.parquet as pq
+
+    from verseloom.runtime import BOUNDS
+
+    own = spark.newSession()
+    own.conf.set("spark.sql.parquet.columnarReaderBatchSize", "64")
+    words = [f"w{k:x}" for k in range(20_000)]
+    rows = [(k, " ".join(random.Random(k).choices(words, k=8_000))) for k in range(300)] + [(0, "a b"), (0, "a b")]
+    docs = own.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    left = corpus_pipeline.drop_exact_copies(own, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, *range(300)]
+    single = corpus_pipeline.drop_exact_copies(own, docs.where("text <> 'a b'"), "")
+    assert "Window" not in single._jdf.queryExecution().optimizedPlan().toString()
+    single.coalesce(1).write.parquet(str(tmp_path / "out"))
+    meta = pq.ParquetFile(next((tmp_path / "out").glob("*.parquet"))).metadata
+    assert meta.num_row_groups > 1 and max(meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)) < 2 * int(BOUNDS["parquet.block.size"])
+    assert own.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "64"

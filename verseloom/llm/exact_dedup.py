@@ -272,9 +272,19 @@ def _parted(source: DataFrame, found: DataFrame, differ: DataFrame, digests: tup
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one row for each kept (id, text)."""
-    stay = materialize(decide(docs, id_col, text_col).where("kept").select("doc_id", "mark"), "lsm-kept")
+    """The rows of ``docs`` that stay, with all their columns: one row for each kept (id, text).
+
+    Only rows that repeat both id and text are sorted with their texts to take one of them; the others are filtered.
+    """
+    by_row = decide(docs, id_col, text_col).groupBy("doc_id", "mark").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    stay = materialize(by_row.where("kept").select("doc_id", "mark", "n"), "lsm-kept")
     a, b = unused(docs, "__id"), unused(docs, "__mark")
     keyed = docs.withColumn(a, F.col(id_col).cast("long")).withColumn(b, mark(F.col(text_col)))
-    left = keyed.join(stay, F.col(a).eqNullSafe(stay["doc_id"]) & (F.col(b) == stay["mark"]), "left_semi")
-    return first_of_each(left, F.col(a), F.col(b)).select(*docs.columns)
+
+    def left(which: DataFrame) -> DataFrame:
+        return keyed.join(which, F.col(a).eqNullSafe(which["doc_id"]) & (F.col(b) == which["mark"]), "left_semi")
+
+    out, many = left(stay.where("n = 1")), stay.where("n > 1")
+    if many.limit(1).count():
+        out = out.unionByName(first_of_each(left(many), F.col(a), F.col(b)))
+    return out.select(*docs.columns)
