@@ -541,3 +541,37 @@ def test_interval_pairs_against_all_pairs(spark):
     got = sorted((r.a_idx, r.b_idx) for r in J.interval_pairs(df, "song", 2.0).collect())
     want = sorted((a[1], b[1]) for a in items for b in items if a[2] < b[2] and b[3] <= a[4] + 2 and b[4] >= a[3] - 2)
     assert got == want
+
+
+def test_outlines_are_laid_out_once():
+    """Outlines are those of ``plan``, rising times or not, and stretches that differ in case, accents or a shift are laid out once."""
+    rng, cfg = random.Random(5), Layout(allow_aux=False)
+    for aux in (False, True):
+        outlines = L.Outlines(Layout(allow_aux=aux))
+        for _ in range(600):
+            n = rng.randrange(0, 11)
+            text = [rng.choice(["a", "de", "amor,", "coração.", "x" * 9, "uma", "não", "casa; azul", ""]) for _ in range(n)]
+            start = [0.5 * k + rng.choice([0.0, 0.0, 0.3, 4.0]) for k in range(n)]
+            if rng.random() < 0.7:
+                start.sort()
+            end = [x + rng.choice([0.1, 0.4]) for x in start]
+            slides = L.plan(text, start, end, cfg=outlines.cfg)
+            assert outlines.of(text, start, end) == [(first, [len(x) for x in lines], len(tail.split())) for lines, first, _, tail in slides]
+    once = L.Outlines(cfg)
+    words, start = "Não sei se vou, mas vou ficar aqui. Sempre".split(), [0.5 * k for k in range(9)]
+    for text, late in ((words, 0.0), ([w.upper() for w in words], 0.0), ([w.replace("ã", "a") for w in words], 0.0), (words, 0.125)):
+        once.of(text, [x + late for x in start], [x + late + 0.375 for x in start])
+    assert len(once.known) == 1
+
+
+def test_whole_groups_across_batches():
+    import pyarrow as pa
+
+    from verseloom.runtime import whole_groups
+
+    keys = [1, 1, 2, 3, 3, 3, 4]
+    whole = pa.RecordBatch.from_pydict({"k": keys, "v": [[x] * x for x in keys]})
+    for step in (1, 2, 3, 7):
+        batches = [whole.slice(a, step) for a in range(0, 7, step)]
+        got = [b.to_pydict() for b in whole_groups(iter([batches[0].slice(0, 0), *batches]), "k")]
+        assert [g["k"] for g in got] == [[1, 1], [2], [3, 3, 3], [4]] and got[2]["v"] == [[3, 3, 3]] * 3
