@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,3 +300,19 @@ def test_stages_hold_little_of_long_texts(spark, tmp_path):
     meta = pq.ParquetFile(next((tmp_path / "out").glob("*.parquet"))).metadata
     assert meta.num_row_groups > 1 and max(meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)) < 2 * int(BOUNDS["parquet.block.size"])
     assert own.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "64"
+
+
+def test_stages_send_python_few_bytes_at_once(spark):
+    """A stage's batches for Python are bounded by bytes; batches of 10,000 long texts, there and back for 8 tasks, took all direct memory beside a small heap."""
+    from verseloom.runtime import BOUNDS, bound_memory
+
+    own = spark.newSession()
+    bound_memory(own)
+    docs = own.range(0, 1_500, 1, 1).selectExpr("id as doc_id", "repeat(concat(id, ' '), 4000) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 1_500 and max(r.bytes for r in got) < 2 * int(BOUNDS["spark.sql.execution.arrow.maxBytesPerBatch"])
