@@ -575,3 +575,30 @@ def test_whole_groups_across_batches():
         batches = [whole.slice(a, step) for a in range(0, 7, step)]
         got = [b.to_pydict() for b in whole_groups(iter([batches[0].slice(0, 0), *batches]), "k")]
         assert [g["k"] for g in got] == [[1, 1], [2], [3, 3, 3], [4]] and got[2]["v"] == [[3, 3, 3]] * 3
+
+
+def test_consensus_deals_out_texts_not_words(spark):
+    """A group's phrases stay in the task that made them: the query's only exchange is that of the documents' texts, and no phrase is stored or shuffled."""
+    from verseloom.plans import sequence_queries
+
+    made = sequence_queries.QUERIES["consensus_phrases"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().sparkPlan().toString() + made._jdf.queryExecution().executedPlan().toString()
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and "phrases-" not in plan
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_decisions_number_groups_by_median_start(spark):
+    """Groups by median start, of equals as they came; rows of ``arranged`` and the groups themselves give the same decisions."""
+    rng = random.Random(11)
+    rows = [(song, source, k, rng.choice("alfa beta gama delta zeta luz".split()), 0.6 * k + late, 0.6 * k + late + 0.4) for song in range(6) for source, late in (("turbo-vocals", 0.0), ("medium-vocals", rng.choice([0.0, 3.0])), ("medium-denoise", 0.3)) for k in range(rng.randint(1, 40)) if rng.random() < 0.9]
+    words = spark.createDataFrame(rows, "song int, source string, word_idx int, text string, start double, end double")
+    phrases = C.arranged(words, "song", Layout(allow_aux=False))
+    starts = {}
+    for r in phrases.collect():
+        starts.setdefault((r.song, r.part), []).append(r.start)
+    for song in range(6):
+        mids = [sorted(starts[k])[(len(starts[k]) - 1) // 2] / 2 + sorted(starts[k])[len(starts[k]) // 2] / 2 for k in sorted(starts) if k[0] == song]
+        assert mids == sorted(mids)
+    a, b = C.decided(phrases, "song", Layout(allow_aux=False)).drop("words"), C.consensus(words, "song")
+    assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert sorted((r.song, r.idx) for r in b.collect()) == sorted(starts)
