@@ -602,3 +602,12 @@ def test_decisions_number_groups_by_median_start(spark):
     a, b = C.decided(phrases, "song", Layout(allow_aux=False)).drop("words"), C.consensus(words, "song")
     assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert sorted((r.song, r.idx) for r in b.collect()) == sorted(starts)
+
+
+def test_consensus_takes_few_python_tasks_and_no_words_back(spark):
+    """Words that many parts hold go through Python in as many tasks as shuffle partitions; queries that return no words store none."""
+    words = sung(spark, *((name, [("alfa", 0.0, 0.4), ("beta", 0.5, 0.9)]) for name in ("turbo-vocals", "medium-vocals"))).repartition(32, "song")
+    groups = C.assembled(words, "song", Layout(allow_aux=False), with_words=False)
+    assert groups.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "words" not in groups.schema["members"].dataType.elementType.names
+    assert [[(m.source, m.n_words, m.likes) for m in r.members] for r in groups.collect()] == [[("medium-vocals", 2, [1.0]), ("turbo-vocals", 2, [1.0])]]
